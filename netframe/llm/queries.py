@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh_dir
+from .packing import pack_documents
 from .simhash import near_duplicates
 from .substring_dedup import repeated_words
+from .token_counts import section_tokens
+from .token_store import read_store, write_store
+from .tree_bpe import encode_decode
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,10 +41,40 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_elias_fano_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_dir(spark, "tokens")
+    write_store(documents(spark, sf_dir), uri, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_store(spark, uri).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_elias_fano_store": op4_elias_fano_store,
+        "op6_tree_bpe": op6_tree_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_token_counts": op10_token_counts,
     }
 
 
