@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh_dir
 from .packing import pack_documents
+from .quality import judge
 from .simhash import near_duplicates
 from .substring_dedup import repeated_words
 from .token_counts import section_tokens
 from .token_store import read_store, write_store
 from .tree_bpe import encode_decode
+from .warc import read_warc, write_pages
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +43,63 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN r USING (doc_id, k)) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS dup FROM
+      (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines, 0) AS n_lines
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
+x AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS measure, unnest([
+        floor(10000 * n_symbols / nullif(word_chars, 0)), floor(10000 * n_dup_lines / nullif(n_lines, 0)),
+        floor(10000 * n_repeat_words / nullif(n_words, 0)), floor(100 * word_chars / nullif(n_words, 0))]) AS v FROM m),
+b AS (SELECT doc_id, lang, source, measure, CAST(round(ln(1 + v) * 16) AS INTEGER) AS bin FROM x WHERE v IS NOT NULL),
+s AS (SELECT lang, source, measure, bin, count(*) AS n FROM b GROUP BY ALL),
+sc AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
+sq AS (SELECT lang, source, measure, max(total) AS total, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM sc GROUP BY ALL),
+t AS (SELECT lang, measure, bin, sum(n) AS n FROM s GROUP BY ALL),
+tc AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, measure) AS total FROM t),
+tq AS (SELECT lang, measure, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM tc GROUP BY ALL),
+big AS (SELECT lang, source, max(total) AS n_rows FROM sq GROUP BY ALL),
+lim AS (SELECT sq.lang, sq.source, sq.measure, CASE WHEN n_rows >= 200 THEN sq.q3 + 3 * (sq.q3 - sq.q1 + 16) ELSE tq.q3 + 3 * (tq.q3 - tq.q1 + 16) END AS lim
+        FROM sq JOIN big USING (lang, source) JOIN tq ON sq.lang = tq.lang AND sq.measure = tq.measure),
+bad AS (SELECT DISTINCT doc_id FROM b JOIN lim USING (lang, source, measure) WHERE bin > lim)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.doc_id IS NULL AS kept
+FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_dir(spark, "warc")
+    write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), uri)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:page:(-?[0-9]+)$', 1) AS bigint)")
+    full = read_warc(spark, uri).where("record_type = 'response'")
+    again = read_warc(spark, uri, payload="false").where("record_type = 'revisit'")  # headers only
+    return full.select(
+        page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
+    ).unionByName(again.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to FROM d
+"""
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -70,7 +129,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_quality_rules": op2_quality_rules,
         "op4_elias_fano_store": op4_elias_fano_store,
+        "op5_warc": op5_warc,
         "op6_tree_bpe": op6_tree_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
@@ -79,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL}
