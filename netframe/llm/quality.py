@@ -4,17 +4,16 @@ DataFrame functions only.  Each text is measured once; what is measured is writt
 shared folder and used twice: for the sketches and for the filter joined with them.
 
 A sketch is a table of counts by bin (language, source, measure, bin), so two sketches
-merge by adding counts, in any order, with the same result on every run.  Bins are
-logarithmic: bin b of measure x = 0, 1, 2, ... holds the x with round(log(1 + x) * BINS) = b,
-which keeps the relative error of a quantile below 1 / (2 * BINS).  A source's sketch is
-merged from its tasks' counts by the group-by itself (a hot source costs a task one row for
-each bin), and the language's sketch from its sources'.
-
-Thresholds: of each measure the quartiles q1, q3 of the (language, source) sketch, or of the language's
-if the source has under FEWEST rows.  A text fails where its bin lies above q3 + REACH * (q3 - q1 + WIDTH)
-in the logarithmic scale.  A corpus of even quality loses nothing, whatever its level; a measure's
-outliers go.  The measures, in parts of 10,000: symbols by characters of words, doubled lines by lines,
-repeated words by words; and characters of a word by 100.
+merge by adding counts, in any order and with the same result on every run, which a
+randomised sketch (KLL) would not give.  Bins are TOP at most and as wide as MEASURES says, so a
+sketch has a bounded size and a quantile is right to one bin.  The group-by adds counts up
+before its shuffle: a hot source costs a task one row for each bin.  The language's sketch is
+merged from its sources'.
+
+Thresholds: of each measure the quartiles q1 and q3 of the (language, source) sketch, or of the
+language's if the source has under FEWEST rows.  A text fails where a measure lies above
+q3 + REACH * (q3 - q1) + slack, or for measures with a lower end below q1 - REACH * (q3 - q1) - slack.
+A corpus of even quality loses nothing, whatever its level; outliers go.
 
 kept is false if the base rules fail (under 10 words, or over a fifth of the words in repeated
 5-word windows) or a threshold is passed.
@@ -32,12 +31,17 @@ from .common import free_name, let, materialize
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
-BINS = 16
 FEWEST = 200
 REACH = 3
-WIDTH = 16
+TOP = 1000
+#: measure: (counted, of what, bins for a value of 1, slack in bins, whether small values count as outliers too)
+MEASURES = {
+    "symbol_share": ("n_symbols", "word_chars", 1000, 30, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 350, False),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, 150, False),
+    "word_length": ("word_chars", "n_words", 20, 10, True),
+}
 _WORD_BREAK = r"[\x20\x09-\x0D]+"
-MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 
 
 def _repeated(words: Column) -> Column:
@@ -75,8 +79,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("lines"), F.size(F.array_distinct(x)).cast("long").alias("different")))
     others = [c for c in docs.columns if c != text_col]
     w, n = free_name(docs, "nf_words"), free_name(docs, "nf_lines")
-    chars = F.length(F.translate(text, "\x20\x09\x0a\x0b\x0c\x0d", ""))
-    measured = docs.select(*others, counts.alias(w), line_counts.alias(n), chars.cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
+    chars = F.length(F.regexp_replace(text, _WORD_BREAK, ""))
+    symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
+    measured = docs.select(*others, counts.alias(w), line_counts.alias(n), chars.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"))
     return measured.select(
         *others,
         F.col(f"{w}.n_words").alias("n_words"),
@@ -90,9 +95,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _bins() -> dict[str, Column]:
     """Bin of each measure; null where it has no value."""
-    share = lambda a, b, of=10_000: F.try_divide(F.lit(of) * F.col(a), F.col(b))
-    raw = {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words", 100)}
-    return {k: F.round(F.log1p(F.floor(x)) * BINS).cast("int") for k, x in raw.items()}
+    return {name: F.least(F.lit(TOP), F.floor(F.try_divide(F.lit(per) * F.col(x), F.col(y)))).cast("int") for name, (x, y, per, _, _) in MEASURES.items()}
 
 
 def sketch(measured: DataFrame, *by: str) -> DataFrame:
@@ -107,7 +110,7 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame, *by: str) -> DataFrame:
-    """(by..., rows long, limits map<measure, bin>) of each sketch."""
+    """(by..., rows long, limits map<measure, struct<low, high>>) of each sketch."""
     at = F.array_sort(F.collect_list(F.struct("bin", "n")))  # as many items as there are bins, at most
     listed = sketches.groupBy(*by, "measure").agg(at.alias("bins"), F.sum("n").alias("rows"))
 
@@ -121,8 +124,10 @@ def thresholds(sketches: DataFrame, *by: str) -> DataFrame:
         return step["bin"]
 
     each = listed.select(*by, "measure", "rows", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    each = each.withColumn("limit", F.col("q3") + REACH * (F.col("q3") - F.col("q1") + WIDTH))
-    return each.groupBy(*by).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("measure", "limit"))).alias("limits"))
+    slack = F.create_map(*(F.lit(x) for name, m in MEASURES.items() for x in (name, m[3])))[F.col("measure")]
+    room = REACH * (F.col("q3") - F.col("q1")) + slack
+    limit = F.struct((F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
+    return each.groupBy(*by).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("measure", limit))).alias("limits"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -138,7 +143,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     beyond = F.lit(False)
     for name, x in _bins().items():
-        beyond = beyond | F.coalesce(x > F.col("limits")[name], F.lit(False))
+        limit = F.col("limits")[name]
+        out = (x > limit["high"]) | (x < limit["low"]) if MEASURES[name][4] else x > limit["high"]
+        beyond = beyond | F.coalesce(out, F.lit(False))
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~beyond).alias("kept")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fresh_dir
+from .exact_dedup import exact_groups
 from .packing import pack_documents
 from .quality import judge
 from .simhash import near_duplicates
@@ -61,9 +62,9 @@ m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines, 0) AS n_lines
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
 x AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS measure, unnest([
-        floor(10000 * n_symbols / nullif(word_chars, 0)), floor(10000 * n_dup_lines / nullif(n_lines, 0)),
-        floor(10000 * n_repeat_words / nullif(n_words, 0)), floor(100 * word_chars / nullif(n_words, 0))]) AS v FROM m),
-b AS (SELECT doc_id, lang, source, measure, CAST(round(ln(1 + v) * 16) AS INTEGER) AS bin FROM x WHERE v IS NOT NULL),
+        floor(1000 * n_symbols / nullif(word_chars, 0)), floor(1000 * n_dup_lines / nullif(n_lines, 0)),
+        floor(1000 * n_repeat_words / nullif(n_words, 0)), floor(20 * word_chars / nullif(n_words, 0))]) AS v FROM m),
+b AS (SELECT doc_id, lang, source, measure, CAST(least(1000, v) AS INTEGER) AS bin FROM x WHERE v IS NOT NULL),
 s AS (SELECT lang, source, measure, bin, count(*) AS n FROM b GROUP BY ALL),
 sc AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
 sq AS (SELECT lang, source, measure, max(total) AS total, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM sc GROUP BY ALL),
@@ -71,9 +72,10 @@ t AS (SELECT lang, measure, bin, sum(n) AS n FROM s GROUP BY ALL),
 tc AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, measure) AS total FROM t),
 tq AS (SELECT lang, measure, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM tc GROUP BY ALL),
 big AS (SELECT lang, source, max(total) AS n_rows FROM sq GROUP BY ALL),
-lim AS (SELECT sq.lang, sq.source, sq.measure, CASE WHEN n_rows >= 200 THEN sq.q3 + 3 * (sq.q3 - sq.q1 + 16) ELSE tq.q3 + 3 * (tq.q3 - tq.q1 + 16) END AS lim
-        FROM sq JOIN big USING (lang, source) JOIN tq ON sq.lang = tq.lang AND sq.measure = tq.measure),
-bad AS (SELECT DISTINCT doc_id FROM b JOIN lim USING (lang, source, measure) WHERE bin > lim)
+q AS (SELECT lang, source, measure, CASE WHEN n_rows >= 200 THEN sq.q1 ELSE tq.q1 END AS q1, CASE WHEN n_rows >= 200 THEN sq.q3 ELSE tq.q3 END AS q3,
+             list_extract([30, 350, 150, 10], measure) AS slack FROM sq JOIN big USING (lang, source) JOIN tq USING (lang, measure)),
+bad AS (SELECT DISTINCT doc_id FROM b JOIN q USING (lang, source, measure)
+        WHERE bin > q3 + 3 * (q3 - q1) + slack OR (measure = 4 AND bin < q1 - 3 * (q3 - q1) - slack))
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.doc_id IS NULL AS kept
@@ -126,6 +128,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_groups(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP8_SQL = """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
+k AS (SELECT norm, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN k USING (norm)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -134,10 +148,11 @@ def queries() -> dict:
         "op5_warc": op5_warc,
         "op6_tree_bpe": op6_tree_bpe,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_exact_dedup": op8_exact_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op5_warc": OP5_SQL, "op8_exact_dedup": OP8_SQL}
