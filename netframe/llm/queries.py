@@ -13,6 +13,7 @@ from .simhash import near_duplicates
 from .substring_dedup import repeated_words
 from .token_counts import section_tokens
 from .token_store import read_store, write_store
+from .toxicity import toxicity
 from .tree_bpe import encode_decode
 from .warc import read_warc, write_pages
 
@@ -102,6 +103,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -144,6 +149,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_quality_rules": op2_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op4_elias_fano_store": op4_elias_fano_store,
         "op5_warc": op5_warc,
         "op6_tree_bpe": op6_tree_bpe,
