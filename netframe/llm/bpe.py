@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Chunks remembered at most; then the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 _ODD = [chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0x200B, 0xFEFF)]
 _SPACED = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 _BARE = re.compile("[^\x20\x09-\x0d]+")
@@ -46,6 +46,9 @@ class Encoder:
         self.offsets = offsets
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cut = self._rule(spec)
+        # a special token parts texts that are encoded in one call: what stands on its two sides never meets
+        own = [t for t in spec.get("added_tokens", []) if t.get("special") and not t.get("normalized")]
+        self.divider = (own[-1]["content"], own[-1]["id"]) if own else None
         self._forget()
 
     @staticmethod
@@ -72,30 +75,45 @@ class Encoder:
         self.flat = np.zeros(4096, np.uint32)
         self.spans = np.zeros((4096, 2), np.int32) if self.offsets else None
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that have just got their numbers."""
-        for lo in range(0, len(chunks), 4096):
-            part = chunks[lo : lo + 4096]
-            if self.offsets:
-                done = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            else:
-                done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+    def _runs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list | None]:
+        """(lengths of the chunks' id runs, the ids, their spans if asked for)."""
+        if self.offsets or not self.divider or any(self.divider[0][0] in c for c in chunks):
+            encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
+            done = encode(chunks, add_special_tokens=False)
             ids = [e.ids for e in done]
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lens.sum())
-            while self.n + len(part) > len(self.lens):
+            return lens, np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), [s for e in done for s in e.offsets] if self.offsets else None
+        mark, number = self.divider
+        done = self.tokenizer.encode_batch_fast([mark.join(chunks[k : k + 64]) + mark for k in range(0, len(chunks), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in done])
+        ends = np.flatnonzero(ids == number)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != number], None
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks that have just got their numbers."""
+        first = self.divider[0][0] if self.divider else ""
+        odd = np.fromiter((first in c for c in chunks), bool, len(chunks)) if first else np.zeros(len(chunks), bool)
+        lo = 0
+        while lo < len(chunks):
+            # chunks that may hold a divider are encoded one by one
+            same = np.flatnonzero(odd[lo : lo + 4096] != odd[lo])
+            hi = lo + (int(same[0]) if len(same) else len(odd[lo : lo + 4096]))
+            lens, ids, spans = self._runs(chunks[lo:hi])
+            n, total = hi - lo, len(ids)
+            while self.n + n > len(self.lens):
                 self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
                 if self.offsets:
                     self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-            self.lens[self.n : self.n + len(part)] = lens
-            self.starts[self.n : self.n + len(part)] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+            self.lens[self.n : self.n + n] = lens
+            self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
+            self.flat[self.used : self.used + total] = ids
             if self.offsets and total:
-                self.spans[self.used : self.used + total] = [s for e in done for s in e.offsets]
-            self.n += len(part)
+                self.spans[self.used : self.used + total] = spans
+            self.n += n
             self.used += total
+            lo = hi
 
     def _lookup(self, chunks: list[str]) -> np.ndarray:
         index = self.index
