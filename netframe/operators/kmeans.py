@@ -8,11 +8,10 @@ from __future__ import annotations
 import math
 import warnings
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netframe.functions.scalar import sqdist, sum_array
+from netframe.functions.scalar import sqdist
 from netframe.plans.storage import materialize
 
 Centres = list[list[float]]
@@ -26,9 +25,15 @@ def frame_of(spark, centres: Centres) -> DataFrame:
     return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(centres)], "cluster int, centroid array<double>")
 
 
+def table_of(centres: Centres) -> Column:
+    """The centres as one array constant."""
+    number = lambda x: f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')"
+    return F.expr("array(" + ", ".join("array(" + ", ".join(map(number, c)) + ")" for c in centres) + ")")
+
+
 def _distances(centres: Centres) -> Column:
     """Array of squared distances to each centre."""
-    return F.array(*(sqdist(F.col("features"), F.array(*(F.lit(float(x)) for x in c))) for c in centres))
+    return F.transform(table_of(centres), lambda c: sqdist(F.col("features"), c))
 
 
 def with_nearest(points: DataFrame, centres: Centres) -> DataFrame:
@@ -56,9 +61,8 @@ def update_centroids(points: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 def inertia(points: DataFrame, labels: DataFrame, centroids: DataFrame | Centres) -> DataFrame:
     """One row, inertia: squared distances to the points' own centroids."""
     c = centroids if isinstance(centroids, list) else centres_of(centroids)
-    table = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in c))
     j = points.join(labels, "id")
-    return j.agg(F.coalesce(F.sum(sqdist(F.col("features"), table[F.col("cluster")])), F.lit(0.0)).alias("inertia"))
+    return j.agg(F.coalesce(F.sum(sqdist(F.col("features"), table_of(c)[F.col("cluster")])), F.lit(0.0)).alias("inertia"))
 
 
 def _means(points: DataFrame, centres: Centres) -> tuple[Centres, float, list[int]]:
@@ -210,15 +214,3 @@ def fuzzy_kmeans(points: DataFrame, k: int, fuzziness: float = 2.0, max_iter: in
         c = weighted_centres(points, u, fuzziness, k)
     hard = u.select("id", (F.array_position("u", F.array_max("u")) - 1).cast("int").alias("cluster"))
     return hard, u.select("id", F.col("u").alias("membership"))
-
-
-def pair_inertia(points: DataFrame, labels: DataFrame) -> float:
-    return inertia(points, labels, update_centroids(points, labels, int(labels.agg(F.max("cluster")).first()[0]) + 1)).first()[0]
-
-
-def array_mean(a: Column) -> Column:
-    return sum_array(a) / F.size(a)
-
-
-def as_array(centres: Centres) -> np.ndarray:
-    return np.array(centres, float)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netframe.functions.scalar import sqdist, sum_array
 from netframe.plans.storage import materialize
 
-from .kmeans import Centres
+from .kmeans import Centres, table_of
 
 
 class SoftState(NamedTuple):
@@ -23,13 +23,13 @@ class SoftState(NamedTuple):
 
 
 def _lit(centre: list[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in centre))
+    return table_of([centre])[0]
 
 
 def memberships(points: DataFrame, centres: Centres, temperature: float = 2.0, floor: float = 1e-10) -> DataFrame:
     """(id, u): u_i in proportion to d_i ** (-2 / (m - 1)), summing to 1; distances have a floor."""
     power = -2.0 / (temperature - 1.0)
-    d = F.array(*(F.greatest(F.sqrt(sqdist(F.col("features"), _lit(c))), F.lit(floor)) for c in centres))
+    d = F.transform(table_of(centres), lambda c: F.greatest(F.sqrt(sqdist(F.col("features"), c)), F.lit(floor)))
     least = F.array_min("d")  # scaled by the least distance, so that powers stay finite
     raw = points.select("id", d.alias("d")).select("id", F.transform("d", lambda x: F.pow(x / least, F.lit(power))).alias("r"))
     return raw.select("id", F.transform("r", lambda x: x / sum_array(F.col("r"))).alias("u"))
