@@ -110,7 +110,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fetched = base.select(normalised(F.col("text")).alias("bytes"), "id", "locator", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars")).join(wanted, F.col("locator") == F.col("at"))
     fetched = materialize(fetched.select("digest", "bytes", "id", "n_chars", "locator", (F.col("locator") == F.col("keeper")).alias("stays")), "hits")
     kept_bytes = fetched.where("stays").select(F.col("digest").alias("d"), F.col("bytes").alias("own"))
-    differ = materialize(fetched.where("not stays").join(kept_bytes, F.col("digest") == F.col("d")).where("bytes <> own").select("digest").distinct(), "collisions")
+    # written before anything needs a digest's rows together, so that the join of a hot one can be split
+    differ = materialize(fetched.where("not stays").join(kept_bytes, F.col("digest") == F.col("d")).where("bytes <> own").select("digest"), "collisions").distinct()
 
     plain = keys.join(groups, "digest").select("id", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first.locator")).alias("kept"), "digest", "locator")
     if differ.isEmpty():
