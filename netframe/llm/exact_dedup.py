@@ -47,13 +47,18 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame, name: str = "locator") -> DataFrame:
-    """docs with a locator struct<file string, row long>; docs not read from files are written first."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def filed(docs: DataFrame) -> DataFrame:
+    """docs if its rows come from files that know their row numbers, else docs written to files."""
     try:
-        return docs.select("*", place.alias(name))
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
     except AnalysisException:
-        return materialize(docs, "located").select("*", place.alias(name))
+        return materialize(docs, "located")
+
+
+def located(docs: DataFrame, name: str = "locator") -> DataFrame:
+    """docs with a locator struct<file string, row long>; docs not read from files are written first."""
+    return filed(docs).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
 
 
 def _order() -> Column:
@@ -125,6 +130,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts."""
     name = free_name(docs, "locator")
+    docs = filed(docs)  # both readings must see the same places
     whole = located(docs, name)
     gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("locator").alias("nf_gone"))
     return whole.join(gone, F.col(name) == F.col("nf_gone"), "left_anti").drop(name)
