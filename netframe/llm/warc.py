@@ -3,8 +3,10 @@
 Reading: whole files are planned into partitions of about `partition_bytes`; a record's header
 block is parsed first, and only if the record passes the pushed predicates (record type and
 the other header columns) and payloads are wanted is its block read.  In a plain file an
-unwanted block is skipped by a seek over Content-Length bytes; in a gzip file it has to be
-inflated, but it is neither kept nor decoded.
+unwanted block is skipped by a seek over Content-Length bytes.  A gzip file (the default) has one member for
+each record; ours say their own length in the member's extra field "sl", so that of an unwanted record
+only the header's first bytes are inflated and the rest is skipped by a seek.  Members without it are
+inflated through, but what is unwanted is neither kept nor decoded.
 
 Writing: each task writes files of about `file_bytes` below _temporary; the driver renames
 those of the attempts that count, so a repeated task leaves nothing behind.  Files are opened
@@ -22,6 +24,7 @@ control characters of a URI are percent-encoded; a folder without archives has n
 from __future__ import annotations
 
 import io
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass, field
@@ -64,10 +67,21 @@ class _Written(WriterCommitMessage):
     files: list = field(default_factory=list)
 
 
+HEAD_BYTES = 1 << 14
+
+
+def pack_member(data: bytes, level: int = 4) -> bytes:
+    """A gzip member with the extra field sl: lengths of the deflated and of the plain data."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, len(body) & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.uri = options["path"].rstrip("/")
-        self.gzip = options.get("compression", "none") == "gzip"
+        self.gzip = options.get("compression", "gzip") == "gzip"
         self.file_bytes = int(options.get("file_bytes", 64 << 20))
         self.date = options.get("date", "2000-01-01T00:00:00Z")
         self.overwrite = overwrite
@@ -80,11 +94,10 @@ class WarcWriter(DataSourceArrowWriter):
             for k in range(batch.num_rows):
                 data = _encode({c: batch.column(c)[k].as_py() for c in _ARROW.names}, self.date)
                 if self.gzip:
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = packer.compress(data) + packer.flush()
+                    data = pack_member(data)
                 if out is None:
                     done.files.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                    out, size = store.open_output_stream(f"{root}/_temporary/{done.files[-1]}"), 0
+                    out, size = store.open_output_stream(f"{root}/_temporary/{done.files[-1]}", compression=None), 0
                 out.write(data)
                 size += len(data)
                 if size >= self.file_bytes:
@@ -140,6 +153,13 @@ class _Inflated(io.RawIOBase):
                 return len(out)
 
 
+class _Counted:
+    """A stream without seek; tell() has no meaning there."""
+
+    def __init__(self, f):
+        self.readline, self.read, self.seekable, self.tell = f.readline, f.read, f.seekable, lambda: 0
+
+
 def _skip(f, n: int) -> None:
     if f.seekable():
         f.seek(n, io.SEEK_CUR)
@@ -202,8 +222,7 @@ class WarcReader(DataSourceReader):
         rows, size = [], 0
         for path in partition.files:
             raw = store.open_input_file(path)
-            f = io.BufferedReader(_Inflated(raw)) if path.endswith(".gz") else raw
-            for row in self._records(f):
+            for row in self._members(raw) if path.endswith(".gz") else self._records(raw):
                 rows.append(row)
                 size += len(row["payload"] or b"") + 200
                 if size > 4 << 20:
@@ -213,41 +232,74 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
+    def _members(self, raw):
+        """Records of a gzip file: by members that say their length, as long as there are such."""
+        at, size = 0, raw.size()
+        while at < size:
+            raw.seek(at)
+            head = raw.read(24)
+            if len(head) < 24 or head[:4] != b"\x1f\x8b\x08\x04" or head[10:16] != b"\x0c\0sl\x08\0":
+                raw.seek(at)
+                yield from self._records(io.BufferedReader(_Inflated(raw), 1 << 16))
+                return
+            packed, plain = struct.unpack_from("<II", head, 16)
+            z = zlib.decompressobj(-15)
+            first = raw.read(min(packed, HEAD_BYTES))
+            text = z.decompress(first, HEAD_BYTES)
+            if b"\r\n\r\n" not in text:  # a long header
+                text += z.decompress(z.unconsumed_tail + raw.read(packed - len(first)))
+                first = b"\0" * packed
+            row, length, kind, start = self._header(io.BytesIO(text))
+            if _passes(self.tests, row):
+                if row["record_type"] != "revisit" and self.payload:
+                    if len(text) < plain:
+                        text += z.decompress(z.unconsumed_tail + raw.read(packed - len(first)))
+                    row["payload"] = self._payload(text[start : start + length], kind)
+                yield row
+            at += 24 + packed + 8
+
+    @staticmethod
+    def _payload(block: bytes, kind: str) -> bytes:
+        return block.partition(b"\r\n\r\n")[2] if kind.startswith("application/http") else block
+
+    def _header(self, f):
+        """(row without payload, bytes of the block, its content type, where it begins), or None at the end."""
+        line = f.readline()
+        while line in (b"\r\n", b"\n"):
+            line = f.readline()
+        if not line:
+            return None
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {line[:40]!r}")
+        head = {}
+        while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
+        strip = lambda x: x[1:-1] if x and x[0] == "<" else x
+        row = {
+            "record_id": strip(head.get("warc-record-id")),
+            "record_type": head.get("warc-type"),
+            "target_uri": head.get("warc-target-uri"),
+            "refers_to": strip(head.get("warc-refers-to")),
+            "payload_digest": (head.get("warc-payload-digest") or "").rpartition(":")[2] or None,
+            "payload_bytes": int(head["x-payload-bytes"]) if head.get("x-payload-bytes", "").isdigit() else None,
+            "payload": None,
+        }
+        return row, int(head.get("content-length", 0)), head.get("content-type", ""), f.tell()
+
     def _records(self, f):
+        """Records of plain data, one after the other."""
         f = f if isinstance(f, io.BufferedReader) else io.BufferedReader(f, 1 << 16)
-        while True:
-            line = f.readline()
-            while line in (b"\r\n", b"\n"):
-                line = f.readline()
-            if not line:
-                return
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"no WARC record begins with {line[:40]!r}")
-            head = {}
-            while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                head[name.strip().lower()] = value.strip()
-            length = int(head.get("content-length", 0))
-            strip = lambda x: x[1:-1] if x and x[0] == "<" else x
-            row = {
-                "record_id": strip(head.get("warc-record-id")),
-                "record_type": head.get("warc-type"),
-                "target_uri": head.get("warc-target-uri"),
-                "refers_to": strip(head.get("warc-refers-to")),
-                "payload_digest": (head.get("warc-payload-digest") or "").rpartition(":")[2] or None,
-                "payload_bytes": int(head["x-payload-bytes"]) if head.get("x-payload-bytes", "").isdigit() else None,
-                "payload": None,
-            }
+        f = f if f.seekable() else _Counted(f)
+        while (got := self._header(f)) is not None:
+            row, length, kind, _ = got
             if not _passes(self.tests, row):
                 _skip(f, length)
                 continue
             if row["record_type"] == "revisit" or not self.payload:
                 _skip(f, length)
             else:
-                block = f.read(length)
-                if head.get("content-type", "").startswith("application/http"):
-                    block = block.partition(b"\r\n\r\n")[2]
-                row["payload"] = block
+                row["payload"] = self._payload(f.read(length), kind)
             yield row
 
 
