@@ -79,3 +79,39 @@ def test_keep_one(docs, rows, empty):
     ids = [r[0] for r in kept.select("doc_id").collect()]
     assert 3 in ids and not {200, 201, 202, 203, 204} & set(ids) and ids.count(None) == 2
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+
+
+def similar(a, b):
+    return simhash.shingle_similarity(a.encode(), b.encode())
+
+
+def test_near_copies_by_shingles(spark):
+    r = random.Random(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(150)]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            w = list(words)
+            for _ in range(2):
+                w[r.randrange(150)] = f"v{r.randrange(3000)}"
+            texts.append(" ".join(w))
+    crowd = [f"c{j}" for j in range(60)]
+    for _ in range(80):  # the same words in other orders: alike to SimHash, not to the shingles
+        r.shuffle(crowd)
+        texts.append(" ".join(crowd))
+    texts += [texts[-1] + " c1", "short one", "short one two"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("like", F.lit(1)).withColumn("fp", F.lit(2))
+    gone = {x["id"]: x["like"] for x in simhash.near_copies(docs).collect()}
+    want = {j for j in range(len(texts)) if any(similar(texts[i], texts[j]) >= 0.8 for i in range(j))}
+    assert set(gone) <= want and len(gone) >= 0.95 * len(want)
+    assert all(similar(texts[a], texts[b]) >= 0.64 for a, b in gone.items())
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns and left.count() == len(texts) - len(gone)
+
+
+def test_near_copies_of_odd_rows(docs, rows, empty):
+    ids = {x["id"] for x in simhash.near_copies(docs).collect()}
+    assert {200, 201, 202, 203, 204, 405} <= ids and None not in ids and not ids & {3, 403, 404}
+    assert simhash.drop_near_copies(empty).count() == 0
