@@ -26,8 +26,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: five-word shingles similar to 0.8 or more.
+
+    SimHash blocks find the candidates, the shingles decide.
+    """
+    return simhash.drop_near_copies(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
