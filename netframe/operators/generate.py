@@ -67,7 +67,7 @@ def similarity_graph(points: DataFrame, chance: float = 0.3, seed: int = 42) ->
     order = with_dense_index(points.select("id"), ["id"], "rank")
     chain = order.select(F.col("id").alias("src"), (F.col("rank") + 1).alias("rank")).join(order.select(F.col("id").alias("dst"), "rank"), "rank").select("src", "dst")
     kept = drawn.unionByName(d.join(chain, ["src", "dst"], "left_semi")).distinct()
-    return PropertyGraph.from_edges(kept.withColumn("pos", F.xxhash64("src", "dst")), points.select("id"), directed=False)
+    return PropertyGraph.from_edges(kept.withColumn("pos", F.shiftright(F.xxhash64("src", "dst"), 2)), points.select("id"), directed=False)
 
 
 def supply_chain(spark: SparkSession, layers: tuple[int, int, int] = (5, 29, 3422), seed: int = 42) -> tuple[PropertyGraph, DataFrame]:
