@@ -2,54 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The word separators of every operator: space and U+0009..U+000D.
-SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
+from netframe.plans.storage import fresh_dir, materialize, shared_dir
+
+__all__ = ["documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "trim"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the cluster names none (tests, local mode) a folder of this process is
-    made, used and removed at exit.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="netframe-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    named = f"file://{own}"
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder name below the shared folder."""
-    return f"{shared_dir(spark)}/netframe-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, which cuts its lineage.
-
-    The Parquet files outlive executors, so nothing upstream runs again when one is lost.
-    """
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -66,3 +33,24 @@ def free_name(docs: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish = f"_{wish}"
     return wish
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
+
+
+def row_ranges(sizes, most: int = 1 << 22):
+    """(lo, hi) ranges of rows whose sizes add up to about `most`; a larger row is one of its own."""
+    lo, total = 0, 0
+    for k, s in enumerate(sizes):
+        if k > lo and total + s > most:
+            yield lo, k
+            lo, total = k, 0
+        total += s
+    if lo < len(sizes):
+        yield lo, len(sizes)

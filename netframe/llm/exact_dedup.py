@@ -35,7 +35,10 @@ ROCKSDB = {
     # many small stores: no disk space is set aside for their logs
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    # a store's memory goes back when its task ends
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 

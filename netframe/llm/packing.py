@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize
-from .tree_bpe import _few
+from .common import materialize, row_ranges, trim
 
 LIMIT = 1024
 SLACK = 16
@@ -43,7 +42,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id
         e = encoder(path)
         for batch in batches:
             sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in _few(sizes):
+            for lo, hi in row_ranges(sizes):
                 ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
                 out = np.full(len(ids) + len(ends), end_id, "<u4")
                 doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -58,6 +57,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id
                 offsets = np.concatenate([[0], np.cumsum(length)]) * 4
                 data = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=[id_col, "piece", "start", "length", "ids"])
+        trim()
 
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("nf_text"))
     return base.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")

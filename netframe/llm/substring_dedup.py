@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, text_bytes
+from .common import free_name, text_bytes, trim
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -297,6 +297,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         for row in np.flatnonzero(~table.column(id_col).combine_chunks().is_valid().to_numpy(zero_copy_only=False)).tolist():
             words = (table.column(text_col)[row].as_py() or "").encode().split()
             n_words[row], kept[row] = len(words), b" ".join(words).decode()
+        trim()
         return pa.table([*(table.column(i) for i in keep), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())], names=[*(table.column_names[i] for i in keep), *names])
 
     halves = dealt.groupBy(block_col).applyInArrow(half_level, _SENT).groupBy("bucket").applyInArrow(half_answers, _SENT)

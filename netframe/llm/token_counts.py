@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .tree_bpe import _few
+from .common import row_ranges, trim
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -82,7 +82,7 @@ def section_tokens(docs: DataFrame, path: str, sections: Callable[[str], list[tu
         e = encoder(path, offsets=True)
         for batch in batches:
             sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in _few(sizes, 1 << 21):
+            for lo, hi in row_ranges(sizes, 1 << 21):
                 texts = batch.column(1).slice(lo, hi - lo).to_pylist()
                 if named:
                     given = [[tuple(x.values()) for x in r or []] for r in batch.column(2).slice(lo, hi - lo).to_pylist()]
@@ -108,6 +108,7 @@ def section_tokens(docs: DataFrame, path: str, sections: Callable[[str], list[tu
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(doc_)), pa.array(np.concatenate(sec).astype(np.int32)), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(cross).astype(np.int64))],
                     names=[id_col, "section", "start", "end", "n_tokens", "n_crossing"],
                 )
+        trim()
 
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("nf_text"), *own)
     return base.mapInArrow(run, f"`{id_col}` {kind}, section int, start long, end long, n_tokens long, n_crossing long")

@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import text_bytes
-from .tree_bpe import _few
+from .common import row_ranges, text_bytes, trim
 
 MARK = b"NFTOKEN1"
 SAMPLE = 256
@@ -165,13 +164,14 @@ def write_store(docs: DataFrame, uri: str, path: str, end_id: int = 1, id_col: s
         def parts():
             for batch in batches:
                 sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                for lo, hi in _few(sizes):
+                for lo, hi in row_ranges(sizes):
                     ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
                     out = np.full(len(ids) + len(ends), end_id, np.uint32)
                     out[np.arange(len(ids)) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] = ids
                     yield batch.column(0).slice(lo, hi - lo).to_pylist(), out, ends + np.arange(1, len(ends) + 1), width
 
         foot = _write_shard(name, parts())
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([foot["n_docs"]]), pa.array([foot["n_tokens"]])], names=["shard", "file", "n_docs", "n_tokens"])
 
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("nf_text"))
@@ -194,7 +194,7 @@ def read_store(spark: SparkSession, uri: str) -> DataFrame:
                 shard = Shard(uri_)
                 bounds, foot = shard.bounds.all(), shard.foot
                 names = [None] * foot["nulls"] + (shard.names.all() + foot["least"]).tolist()
-                for lo, hi in _few(np.diff(bounds), 1 << 21):
+                for lo, hi in row_ranges(np.diff(bounds), 1 << 21):
                     ids = shard.ids(int(bounds[lo]), int(bounds[hi]))
                     offsets = ((bounds[lo : hi + 1] - bounds[lo]) * 4).astype(np.int32)
                     data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])

@@ -31,17 +31,20 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_ranges, trim
+
 BITS = 20
 PREFIXES = (4, 5, 6)
 Z = 7.0
 LEAST_SHARE = 0.015
 BATCH = 16_384
-POSITIVES = 6_000
-UNLABELLED = 14_000
+POSITIVES = 4_000
+UNLABELLED = 10_000
 EPOCHS = 300
 _EDGE = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -73,7 +76,7 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = EPOCHS, seed: int = 0, rate: float = 0.1, decay: float = 1e-5) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = EPOCHS, seed: int = 0, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Minimise the non-negative risk with the logistic loss."""
     size = 1 << bits
     if not positive or not unlabelled:
@@ -86,7 +89,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     z = (in_pos / n_pos - in_unl / n_unl) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_unl))
     used = (np.abs(z) > Z) & ((in_pos >= max(4, LEAST_SHARE * n_pos)) | (in_unl >= max(4, LEAST_SHARE * n_unl)))
     number = np.cumsum(used) - 1  # of a feature among those used
-    positive, unlabelled = ([number[t[used[t]]] for t in texts] for texts in (positive, unlabelled))
+    positive, unlabelled = ([number[t[used[t]]].astype(np.int32) for t in texts] for texts in (positive, unlabelled))
     many = int(used.sum())
 
     def rows(texts):
@@ -126,6 +129,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(whole, b, prior)
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """Scores of the texts, about a megabyte at a time."""
+    out = [np.zeros(0)]
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in row_ranges(sizes, 1 << 20):
+        feats = [text_features(t or b"") for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+        out.append(_sigmoid(model.logits(np.concatenate(feats), np.cumsum([len(x) for x in feats]))))
+    return np.concatenate(out)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -133,8 +146,10 @@ def held_out(id_col: Column) -> Column:
 def _featurised(docs: DataFrame, extra: list[str], text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            feats = [text_features(t or b"") for t in batch.column(len(extra)).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(extra))), pa.array([x.tobytes() for x in feats], pa.binary())], names=[*extra, "features"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                feats = [text_features(t or b"").tobytes() for t in part.column(len(extra)).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(extra))), pa.array(feats, pa.binary())], names=[*extra, "features"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
     return docs.select(*extra, text_col).mapInArrow(run, kinds + ", features binary")
@@ -159,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     ids = some.select(id_col)
     toxic = ids.join(marks.where("nf_toxic = 1"), F.col(id_col) == F.col("nf_id"), "left_semi")
-    return fit(sample(toxic, positives), sample(ids, unlabelled), prior)
+    model = fit(sample(toxic, positives), sample(ids, unlabelled), prior)
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,10 +187,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            feats = [text_features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([len(x) for x in feats]) if feats else np.zeros(0, np.int64)
-            flat = np.concatenate(feats) if feats else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(shared.value.logits(flat, ends)))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)))], names=[id_col, "score"])
+        trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
@@ -192,9 +207,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            feats = [text_features(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([len(x) for x in feats]) if feats else np.zeros(0, np.int64)
-            flat = np.concatenate(feats) if feats else np.zeros(0, np.int32)
-            yield batch.filter(pa.array(_sigmoid(shared.value.logits(flat, ends)) < 0.5))
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < 0.5))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

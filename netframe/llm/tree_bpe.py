@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Decoder, encoder
+from .common import row_ranges, trim
 
 LEAF = 1 << 15
 AGREE = 4
@@ -148,18 +149,6 @@ def _answer(batch_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, decoder: Dec
     return pa.RecordBatch.from_arrays([batch_ids, lists, pa.array(decoder.decode(ids, ends), pa.string())], names=[name, "ids", "decoded"])
 
 
-def _few(sizes: np.ndarray, most: int = 1 << 22):
-    """(lo, hi) row ranges of about `most` characters."""
-    lo, total = 0, 0
-    for k, s in enumerate(sizes):
-        if k > lo and total + s > most:
-            yield lo, k
-            lo, total = k, 0
-        total += s
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id_col, ids array<int>, decoded string) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -176,9 +165,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         e, decoder = tools()
         for batch in batches:
             sizes = pa.compute.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in _few(sizes):
+            for lo, hi in row_ranges(sizes):
                 ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
                 yield _answer(batch.column(0).slice(lo, hi - lo), ids, ends, decoder, id_col)
+        trim()
 
     def leaves(batches):
         for batch in batches:
