@@ -85,10 +85,11 @@ def close_links(distinct: DataFrame, max_bits: int = 2, full: int = FULL) -> Dat
         keys.append(F.lit(k << 40).bitwiseOR(F.shiftleft(x, w).bitwiseOR(y)))
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keyed.join(sizes, "key")
+    members = keyed.hint("merge").join(sizes, "key")
     few = members.where(F.col("n") <= full)
     near = (
         few.select("key", F.col("fp").alias("a"))
+        .hint("merge")
         .join(few.select("key", F.col("fp").alias("b")), "key")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
         .select("a", "b")
@@ -176,10 +177,10 @@ def block_links(distinct: DataFrame, max_bits: int, blocks: int, full: int = FUL
         keys.append(key)
     keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
-    members = materialize(keyed.join(sizes, "key"), "members")
+    members = materialize(keyed.hint("merge").join(sizes, "key"), "members")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     few = members.where(F.col("n") <= full)
-    near = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
+    near = few.select("key", F.col("fp").alias("a")).hint("merge").join(few.select("key", F.col("fp").alias("b")), "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
     many = members.where(F.col("n") > full)
     star = many.select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").where(close)
     return near.unionByName(star).distinct(), many.select("fp").distinct()
@@ -265,7 +266,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     return gone.unionByName(more)
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """docs without the rows that are near copies of one that stays.
 
     One fingerprint finds about nine in ten of the pairs barely similar enough; what is left is looked
