@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netframe.plans.storage import fresh_dir, materialize, shared_dir
 
-__all__ = ["documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "trim"]
+__all__ = ["documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "tidy", "trim"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ def trim() -> None:
         pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a loop: shuffle files and broadcasts of finished jobs are removed only once the
+    driver's collector finds them unused, so ask it to look."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_ranges(sizes, most: int = 1 << 22):
     """(lo, hi) ranges of rows whose sizes add up to about `most`; a larger row is one of its own."""
     lo, total = 0, 0

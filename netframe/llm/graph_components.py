@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
 def _star(pairs: DataFrame, lower_only: bool) -> DataFrame:
@@ -37,7 +37,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "edges")
     mark = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
+        if k % 4 == 3:
+            tidy(edges.sparkSession)
         sign = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1000003).alias("s")).first()
         if sign["n"] == 0 or tuple(sign) == mark:
             break
