@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,9 @@ def trim() -> None:
 def tidy(spark: SparkSession) -> None:
     """Between the rounds of a loop: shuffle files and broadcasts of finished jobs are removed only once the
     driver's collector finds them unused, so ask it to look."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim()
 
 
 def row_ranges(sizes, most: int = 1 << 22):
