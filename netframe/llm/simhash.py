@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, tidy
@@ -130,7 +130,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
     return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
 
 
-MINIMA = 10
+SPARE = 8
 
 # Near copies by similarity of word shingles: SimHash finds, the shingles decide.
 
@@ -162,12 +162,31 @@ def shingle_similarity(a: bytes, b: bytes, words: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
+def shingle_hashes(text: bytes, words: int = 5) -> np.ndarray:
+    """Ascending hashes of the distinct word shingles, as many as shingle_similarity compares."""
+    w = text.lower().split()
+    if len(w) <= words:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) >> 1], np.int64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    n = len(w) - words + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(words):
+        out = (out ^ h[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return np.unique((out >> np.uint64(1)).view(np.int64))
+
+
+def _least(n, similarity: float):
+    """Shingles of n that any similar text has too, at least."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
 def block_links(distinct: DataFrame, max_bits: int, blocks: int, full: int = FULL) -> tuple[DataFrame, DataFrame]:
     """(edges (a, b), crowded (fp)) among distinct fingerprints at most max_bits apart.
 
     Of `blocks` blocks two such fingerprints share blocks - max_bits at least; the values of that many
     blocks are a key.  All pairs of a key are verified if it has up to `full` members.  In a crowded key
-    each member is verified against the key's first and the one before it, and reported as crowded.
+    each member is verified against the key's first, and reported as crowded: links may be missing there.
     """
     edges = [64 * i // blocks for i in range(blocks + 1)]
     chosen = list(combinations(range(blocks), blocks - max_bits))
@@ -197,20 +216,25 @@ def block_links(distinct: DataFrame, max_bits: int, blocks: int, full: int = FUL
     return near.unionByName(star).distinct(), many.select("fp").distinct()
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 5, blocks: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rounds: int = 60) -> DataFrame:
-    """(id, like): the rows to drop, each with the row of its group that stays, the one with the smallest id.
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 5, blocks: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, full: int = FULL) -> DataFrame:
+    """(id, like): the rows that are similar to a row with a smaller id, each with one such row.
 
-    Candidates come from blocks of word_fingerprint.  In the first round each is decided by the
-    similarity of its word shingles to the first row of its Hamming group.  Those that are not similar
-    to it are few; among them every link is decided by similarity, and groups are the components of
-    the links that hold.  Members of crowded keys come again as long as copies go, which thins them out;
-    those left then share their words but not their order, and are told apart by MINIMA least shingle
-    hashes instead: who shares one is compared with the first that has it.  Each step is linear in its
-    rows: no pairs of a whole group are made.
+    SimHash thins the groups out: blocks of word_fingerprint link rows, and each row is compared with the
+    first of its Hamming group.  That keeps the next steps small and decides nothing else.  They compare
+    every row that is left with all smaller ids that can be similar, whatever the fingerprints say.
+
+    Two texts with similarity s share s of the shingles of each, at least.  So in any common order of
+    shingles the first n - ceil(s n) + 1 of the two have one in common, and SPARE more of each have SPARE
+    more in common.  Keys are those first shingles in the order of their hashes; pairs of keys with up to
+    `full` rows are made.  A pair with none but crowded keys has over SPARE of them in each row: such rows
+    are ordered once more, by how many of them have a shingle, rare ones first.  There rows in crowded keys
+    are compared with the first of a key before pairs are made, which thins copies of one text out.
+    Pairs that share too few keys to reach the similarity are not looked up.
 
     Rows with a null id are left alone; rows that share an id go only if each of them is similar.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
 
     def marks(batches):
         for batch in batches:
@@ -223,68 +247,87 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
             s = [shingle_similarity(x or b"", y or b"", words) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["id", "like", "s"])
 
-    def minima(batches):
-        seeds = np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            at, keys = [], []
-            for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                w = (t or b"").lower().split()
-                grams = {b" ".join(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
-                mixed = (h[:, None] ^ seeds) * np.uint64(0xD6E8FEB86659FD93)
-                mixed ^= mixed >> np.uint64(31)
-                keys.append((mixed.min(axis=0) ^ seeds).view(np.int64))
-                at.append(np.full(MINIMA, k))
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(keys))], names=["id", "key"])
+    def keys(whole):
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    grams = [shingle_hashes(t.as_py() or b"", words) for t in part.column(1).cast(pa.binary())]
+                    n = np.fromiter(map(len, grams), np.int64, len(grams))
+                    take = n if whole else np.minimum(n, n - _least(n, similarity) + 1 + SPARE)
+                    # a row's last key; shingles beyond it are in no key
+                    top = np.array([g[k - 1] if k < len(g) or whole else (1 << 63) - 1 for g, k in zip(grams, take)], np.int64)
+                    if whole:  # tells rows of one id apart
+                        top = np.array([np.bitwise_xor.reduce(g) for g in grams], np.int64)
+                    at = np.repeat(np.arange(len(grams)), take)
+                    h = np.concatenate([g[:k] for g, k in zip(grams, take)]) if len(grams) else np.empty(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n[at]), pa.array((n - take)[at]), pa.array(top[at]), pa.array(h)], names=["id", "n", "rest", "top", "h"])
+
+        return run
 
     def scores(pairs: DataFrame) -> DataFrame:
         texts = pairs.join(base, "id").select("id", "like", F.col("text").alias("own"))
         both = texts.join(base.select(F.col("id").alias("like"), F.col("text").alias("other")), "like").select("id", "like", "own", "other")
-        return materialize(both.mapInArrow(decide, f"id {kind}, like {kind}, s double"), "similar").groupBy("id", "like").agg(F.min("s").alias("s"))
-
-    def grouped(scored: DataFrame) -> DataFrame:
-        same = scored.where(F.col("s") >= similarity).select(F.col("id").alias("a"), F.col("like").alias("b"))
-        return components(same).where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("like"))
+        return materialize(both.mapInArrow(decide, f"id {kind}, like {kind}, s double").groupBy("id", "like").agg(F.min("s").alias("s")), "similar")
+
+    def dropped(pairs: DataFrame) -> DataFrame:
+        return materialize(scores(pairs).where(F.col("s") >= similarity).groupBy("id").agg(F.min("like").alias("like")), "drop")
+
+    def candidates(members: DataFrame, gone: DataFrame, ordered: bool) -> DataFrame:
+        """Pairs of a row not in gone and one with a smaller id that share keys enough; of members (id, n, rest, top, h, hot)."""
+        a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "rest", "top", "hot")))
+        b = members.join(gone.select("id"), "id", "left_anti").select("h", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "rest", "top", "hot")))
+        near = (F.col("a_id") < F.col("b_id")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+        both = b.hint("merge").join(a, "h").where(near)
+        both = both.groupBy(*(f"{x}_{c}" for x in "ab" for c in ("id", "n", "rest", "top", "hot"))).agg(F.count(F.lit(1)).alias("c"))
+        beyond = F.when(F.col("a_top") < F.col("b_top"), F.col("a_rest")).otherwise(F.col("b_rest")) if ordered else F.greatest("a_rest", "b_rest")
+        most = F.col("c") + F.least("a_hot", "b_hot") + beyond
+        return both.where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6).select(F.col("b_id").alias("id"), F.col("a_id").alias("like")).distinct()
 
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     active = materialize(base.mapInArrow(marks, f"id {kind}, fp long").groupBy("id").agg(F.min("fp").alias("fp")), "words")
-    gone = None
-    for k in range(rounds):
-        tidy(docs.sparkSession)
-        least = materialize(active.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-        links, crowded = block_links(least.select("fp"), max_bits, blocks)
-        links = materialize(links, "links")
-        tidy(docs.sparkSession)
-        named = least.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        low = named.groupBy("root").agg(F.min("least").alias("like"), F.sum("n").alias("n")).where("n > 1").drop("n")
-        pairs = active.join(named.select("fp", "root"), "fp").join(low, "root").where("id <> like").select("id", "like")
-        if k:
-            one, two = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-            pairs = pairs.unionByName(links.join(one, "a").join(two, "b").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("like"))).distinct()
-        scored = scores(pairs)
-        drop = grouped(scored) if k else scored.where(F.col("s") >= similarity).select("id", "like")
-        drop = materialize(drop, "drop")
-        tidy(docs.sparkSession)
-        gone = drop if gone is None else gone.unionByName(drop)
-        left = active.join(drop.select("id"), "id", "left_anti")
-        unlike = left.join(scored.where(F.col("s") < similarity).select("id"), "id", "left_semi")
-        again = left.join(crowded, "fp", "left_semi")
-        settled = k > 0 and drop.isEmpty()
-        active = materialize(again if k else again.unionByName(unlike).distinct(), "words")
-        if settled or active.isEmpty():
-            break
-    rest = materialize(active.select("id").join(base, "id").select("id", "text").mapInArrow(minima, f"id {kind}, key long"), "minima")
-    first = rest.groupBy("key").agg(F.min("id").alias("like"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    more = grouped(scores(rest.join(first, "key").where("id <> like").select("id", "like").distinct()))
+    least = materialize(active.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    links = materialize(block_links(least.select("fp"), max_bits, blocks)[0], "links")
+    tidy(spark)
+    named = least.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = named.groupBy("root").agg(F.min("least").alias("like"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    gone = dropped(active.join(named.select("fp", "root"), "fp").join(low, "root").where("id <> like").select("id", "like"))
+    tidy(spark)
+
+    fields = f"id {kind}, n long, rest long, top long, h long"
+    keyed = materialize(base.mapInArrow(keys(False), fields), "keys")
+    sizes = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(keyed.hint("merge").join(sizes, "h"), "shared")
+    crowded = materialize(shared.where(F.col("m") > full).groupBy("id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("hot")), "crowded")
+    few = shared.where(F.col("m") <= full).join(crowded.select("id", "hot"), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    more = dropped(candidates(few, gone, True))
+    gone = gone.unionByName(more)
+    tidy(spark)
+
+    # the shorter of a similar pair has s of the other's shingles at least, and has SPARE of them to spare or all but one of what it must share
+    spare = F.least(F.lit(SPARE), F.ceil(similarity * F.ceil(similarity * F.col("n") - 1e-9) - 1e-9) - 1)
+    full_rows = crowded.where(F.col("hot") > spare).select("id")
+    grams = materialize(base.join(full_rows, "id", "left_semi").mapInArrow(keys(True), fields), "grams")
+    often = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id", "top").orderBy("df", "h"))
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    kept = grams.hint("merge").join(often, "h").withColumn("place", place).where((F.col("place") <= first) & (F.col("df") > 1))
+    kept = materialize(kept.select("id", "n", (F.col("n") - first).alias("rest"), "top", "h", F.lit(0).alias("hot")), "rare")
+    tidy(spark)
+    sizes = kept.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("like")).where("m > 1")
+    members = materialize(kept.hint("merge").join(sizes, "h"), "members")
+    to_first = members.where((F.col("m") > full) & (F.col("id") != F.col("like"))).join(gone.select("id"), "id", "left_anti").groupBy("id", "like").agg(F.count(F.lit(1)).alias("c"))
+    more = dropped(to_first.groupBy("id").agg(F.max_by("like", "c").alias("like")))
+    gone = gone.unionByName(more)
+    more = dropped(candidates(members.drop("m", "like"), gone, False))
+    tidy(spark)
     return gone.unionByName(more)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """docs without the rows that are near copies of one that stays.
 
-    One fingerprint finds most, not all, of the pairs barely similar enough; what is left is looked
-    through once more under each further seed, at the same cost.
+    near_copies compares whatever can be similar, so one seed finds all; a further one repeats the pass.
     """
     for seed in seeds:
         name = free_name(docs, "nf_gone")

@@ -117,3 +117,22 @@ def test_near_copies_of_odd_rows(docs, rows, empty):
     ids = {x["id"] for x in simhash.near_copies(docs).collect()}
     assert {200, 201, 202, 203, 204, 405} <= ids and None not in ids and not ids & {3, 403, 404}
     assert simhash.drop_near_copies(empty).count() == 0
+
+
+def near_and_want(spark, texts, **more):
+    """(ids that the stage drops, ids with a similar smaller id)."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {x[0] for x in simhash.drop_near_copies(docs, **more).select("doc_id").collect()}
+    return set(range(len(texts))) - left, {j for j in range(len(texts)) if any(similar(texts[i], texts[j]) >= 0.8 for i in range(j))}
+
+
+def test_default_call_finds_short_and_shortened_copies(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(80):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice((12, 16, 25, 60, 150)))]
+        shorter = words[: len(words) - len(words) // 7]
+        other = [*words[:-1], "other"]
+        texts += [" ".join(words), " ".join(shorter), " ".join(other)]
+    got, want = near_and_want(spark, texts)
+    assert len(want) > 100 and got == want
