@@ -136,3 +136,12 @@ def test_default_call_finds_short_and_shortened_copies(spark):
         texts += [" ".join(words), " ".join(shorter), " ".join(other)]
     got, want = near_and_want(spark, texts)
     assert len(want) > 100 and got == want
+
+
+def test_copies_that_share_a_fingerprint_with_unlike_rows(spark):
+    r = random.Random(12)
+    words = [f"c{j}" for j in range(60)]
+    mixed = [r.sample(words, 60) for _ in range(3)]
+    texts = [" ".join(w) for w in (mixed[0], [*mixed[1], "zz"], mixed[2], [*mixed[2], mixed[2][-1]])]
+    got, want = near_and_want(spark, texts)
+    assert got == want == {3}
