@@ -145,3 +145,17 @@ def test_copies_that_share_a_fingerprint_with_unlike_rows(spark):
     texts = [" ".join(w) for w in (mixed[0], [*mixed[1], "zz"], mixed[2], [*mixed[2], mixed[2][-1]])]
     got, want = near_and_want(spark, texts)
     assert got == want == {3}
+
+
+def test_copies_in_crowded_keys(spark):
+    """Every shingle of the copies is in an earlier unlike row too."""
+    r = random.Random(13)
+    words = [f"c{j}" for j in range(60)]
+    a = r.sample(words, 60)
+    texts = []
+    for k in range(80):
+        part = a[k * 8 : k * 8 + 12] if k < 8 else []
+        texts.append(" ".join([*part, f"own{k}", *r.sample(sorted(set(words) - set(part)), 60 - len(part))]))
+    texts += [" ".join(a), " ".join([*a, a[-1]])]
+    got, want = near_and_want(spark, texts)
+    assert got == want == {81}
