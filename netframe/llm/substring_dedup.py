@@ -1,36 +1,42 @@
 """Operator 1: exact substring dedup by level-wise doubling.
 
 A window of W words (13) that also starts in a document with a smaller doc_id is a
-repeat, and every word under a repeat goes.  Window identity is built level by level,
-doubling the length each time (1, 2, 4, 7, 13 words: two halves that meet or overlap), and
-only windows whose half repeated are looked at on the next level:
-
-1.  Documents are dealt by doc_id into blocks of about BLOCK_BYTES of text.
-2.  Level 7: of the seven 7-word windows inside each 13-word window the one with the least
-    hash stands for it.  Equal 13-word windows choose equal 7-word windows, so a 13-word
-    window can only repeat if its 7-word window occurs in two documents.  About a quarter
-    of the positions are chosen; each block sends each value once.
-3.  Level 13: only 13-word windows over a repeated 7-word window are extended and sent,
-    with the smallest doc_id of the block.
+repeat, and every word under a repeat goes.  Windows are compared at lengths that double up to
+W (4, 7 and 13 words; the halves of the last two overlap by a word), and only what repeats at one
+length is extended to the next:
+
+1.  Documents are dealt by doc_id and text into blocks of about block_bytes of text.
+2.  Lengths 4 and 7: of the short windows inside each 13-word window that is still a candidate the
+    one with the least hash stands for it.  Equal 13-word windows choose equal short windows, so a
+    13-word window can only repeat if its short window occurs in two documents.  Each block sends each
+    value once; a candidate whose value is nowhere else is out.
+3.  Length 13: the candidates left are sent themselves, with the smallest doc_id of the block.
 4.  What comes back to a block is one bit for each value it sent.
 
 Each exchange holds a value at most once for each block (pre-aggregated before the
 shuffle), so a passage found in a third of all documents costs a bucket one entry a block;
-groups of copies never meet in one task.  7-word values are 32 bits inside a bucket (a
-false match there costs work only); 13-word windows are told apart by 96 bits besides the
-bucket.  The documents are shuffled once; all levels reuse that exchange.
-
-Cases: a null text has no words; an empty text gives an empty kept text; a null doc_id has
-no order, so such a row neither loses words nor makes others lose them; rows with one
-doc_id never make each other lose words; extra columns pass through unchanged.
+groups of copies never meet in one task.  Short values are 32 bits inside a bucket (a false match
+there costs work only).  13-word windows are told apart by two hashes of their words, of 64 bits and
+of 32 besides the bucket; the second does not build on the first.  The documents are shuffled once; all
+levels reuse that exchange.
+
+A block sends each bucket one row a level.  Blocks grow with the square root of the corpus (8 MB up to a
+terabyte, 64 MB at 100) and there are BLOCKS_A_BUCKET times fewer buckets, so that a row still holds about
+twenty values at 100 TB.
+
+Cases: a null text has no words; an empty text gives an empty kept text; ids are whole numbers; a null doc_id
+has no order, so such a row neither loses words nor makes others lose them; rows with one
+doc_id never make each other lose words, and are spread over blocks by their texts; a very long text is
+handled whole, in one block; an empty table has an empty result; extra columns pass through unchanged.
 """
 
 from __future__ import annotations
 
-from itertools import compress
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +45,23 @@ from pyspark.sql import types as T
 from .common import free_name, text_bytes, trim
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+#: The shortest windows that are compared have more than half of it.
+SHORTEST = 4
+BLOCK_BYTES, LARGEST_BLOCK = 8 << 20, 64 << 20
+BLOCKS_A_BUCKET, FEWEST_BUCKETS = 16, 64
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 _SENT = "bucket int, block int, kind int, keys binary, docs binary"
+#: Kinds of rows: values or the answers to them, windows or the answers to them, a block's candidates (sent to itself).
+_SHORT, _FULL, _OWN = 0, 1, 2
+
+
+def levels(window: int) -> list[int]:
+    """Lengths at which windows are compared; each is at most twice the one before."""
+    out = [window]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,67 +92,55 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class _Block:
-    """Words and window hashes of one block of documents, in doc_id order."""
-
-    def __init__(self, ids: np.ndarray, texts: list, window: int):
-        self.words = [t.split() if t else [] for t in texts]
-        counts = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(counts)
-        n = int(counts.sum())
-        h = np.empty(n, _U)
-        at = 0
-        for words in self.words:
-            h[at : at + len(words)] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
-            at += len(words)
-        half = (window + 1) // 2
-        self.window, self.half, self.n = window, half, n
-        self.doc = np.repeat(np.arange(len(texts)), counts)
-        self.ids = ids
-        if n < window:
-            self.starts = np.empty(0, np.int64)
-            self.gram = self.low = np.empty(0, _U)
-            self.anchor = np.empty(0, np.int64)
+    """Words of one block of documents, in doc_id order, rows without an id last."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, window: int):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten()
+        self.doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        full = pc.greater(pc.binary_length(words), 0)
+        if not pc.all(full, min_count=0).as_py():  # white space at an end leaves an empty word
+            words, self.doc = words.filter(full), self.doc[full.to_numpy(zero_copy_only=False)]
+        named = words.dictionary_encode()
+        distinct = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U, len(distinct))
+        self.words, self.hash = words, own[named.indices.to_numpy()] if len(words) else np.empty(0, _U)
+        self.ids, self.window, self.n, self.n_docs = ids, window, len(words), len(texts)
+        self.counts = np.bincount(self.doc, minlength=len(texts))
+        if self.n < window:
+            self.whole = np.zeros(0, bool)
             return
-        have = 1
-        while have < half:
-            to = min(2 * have, half)
-            h = _double(h, have, to)
-            have = to
-        self.gram = h
-        whole = self.ends[self.doc[: n - window + 1]] >= np.arange(window, n + 1)
-        low = _sliding(h, window - half + 1, np.minimum)
-        self.whole = whole
-        self.low = low
-        # a gram is an anchor if it is the least one of some window inside a document
-        top = np.where(whole, low, _U(0))
-        pad = np.zeros(window - half, _U)
-        top = _sliding(np.concatenate([pad, top, pad]), window - half + 1, np.maximum)
-        self.anchor = np.flatnonzero((top == h) & (top > 0))
-
-    def half_keys(self, buckets: int):
-        """Unique anchors as bucket << 32 | low bits; which of them two documents here share; each anchor's key."""
-        g = self.gram[self.anchor]
-        key = ((g >> _U(32)) * _U(buckets) >> _U(32)) << _U(32) | (g & _U(0xFFFFFFFF))
-        keys, first, back = np.unique(key, return_index=True, return_inverse=True)
-        ids = self.ids[self.doc[self.anchor]]
+        ends = np.cumsum(self.counts)[self.doc[: self.n - window + 1]]
+        self.whole = (ends >= np.arange(window, self.n + 1)) & (self.doc[: self.n - window + 1] < len(ids))
+
+    def grams(self, length: int) -> np.ndarray:
+        """Hashes of all windows of that length, whether they cross documents or not."""
+        h, have = self.hash, 1
+        while have < length:
+            to = min(2 * have, length)
+            h, have = _double(h, have, to), to
+        return h
+
+    def short_keys(self, length: int, candidates: np.ndarray, buckets: int):
+        """Unique values as bucket << 32 | low bits; which of them two documents here share; each candidate's value."""
+        at = np.flatnonzero(candidates)
+        least = _sliding(self.grams(length), self.window - length + 1, np.minimum)[at] if len(at) else np.empty(0, _U)
+        doc = self.doc[at]
+        # neighbouring windows mostly have one value
+        head = np.ones(len(at), bool)
+        head[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        g, ids = least[head], self.ids[doc[head]]
+        keys, first, back = np.unique(((g >> _U(32)) * _U(buckets) >> _U(32)) << _U(32) | (g & _U(0xFFFFFFFF)), return_index=True, return_inverse=True)
         last = np.zeros(len(keys), np.int64)
-        last[back] = np.arange(len(key))  # the last one written stays
-        return keys, ids[first] != ids[last], back
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of windows whose least gram is a repeated anchor."""
-        flag = np.zeros(len(self.gram), bool)
-        flag[self.anchor[repeated]] = True
-        found = np.zeros(len(self.low), bool)
-        m = len(self.low)
-        for k in range(self.window - self.half + 1):
-            found |= flag[k : k + m] & (self.gram[k : k + m] == self.low)
-        return np.flatnonzero(found & self.whole)
+        last[back] = np.arange(len(g))  # the last one written stays
+        return keys, ids[first] != ids[last], back[np.cumsum(head) - 1] if len(at) else back
 
     def full_keys(self, starts: np.ndarray, buckets: int):
         """(bucket, h1, h2) of the windows at starts: order, group heads, and the sorted arrays."""
-        a, b = self.gram[starts], self.gram[starts + self.window - self.half]
-        h1, h2 = _join(a, b, _M1 + _U(2 * self.window)), _join(b, a, _M2)
+        h1 = self.grams(self.window)[starts] if len(starts) else np.empty(0, _U)
+        h2 = np.zeros(len(starts), _U)
+        for k in range(self.window):
+            h2 = _mix((h2 + self.hash[starts + k]) * _M2 + _M1)
         bucket = ((h2 >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         h2 = h2 & _U(0xFFFFFFFF)
         order = np.lexsort((h2, h1, bucket))  # stable: doc_id stays in order inside a key
@@ -142,16 +149,23 @@ class _Block:
         head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (bucket[1:] != bucket[:-1])
         return order, head, bucket, h1, h2
 
+    def kept(self, gone: np.ndarray) -> pa.Array:
+        """The documents' words that stay, one space between."""
+        stay = np.bincount(self.doc[~gone], minlength=self.n_docs)
+        words = self.words.filter(pa.array(~gone)) if gone.any() else self.words
+        offsets = np.concatenate([[0], np.cumsum(stay)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " ")
+
 
 def _load(table: pa.Table, id_col: str, text_col: str, window: int) -> tuple[_Block, np.ndarray]:
-    """The block of the rows with a doc_id, and their row numbers."""
+    """The block, and the row numbers of its documents."""
     ids = table.column(id_col).combine_chunks()
-    rows = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
     values = ids.drop_null().to_numpy().astype(np.int64)
     order = np.argsort(values, kind="stable")
-    rows = rows[order]
-    texts = table.column(text_col).cast(pa.binary()).take(pa.array(rows)).to_pylist()
-    return _Block(values[order], texts, window), rows
+    rows = np.concatenate([np.flatnonzero(valid)[order], np.flatnonzero(~valid)])
+    texts = table.column(text_col).combine_chunks().take(pa.array(rows))
+    return _Block(values[order], texts.cast(pa.string()), window), rows
 
 
 def _cuts(buckets_of: np.ndarray):
@@ -189,127 +203,182 @@ def _bits(table: pa.Table, kind: int, keys_bucket: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words long, n_removed long and kept_text string (kept words, one space between).
-
-    These names get underscores in front where docs has such a column.
-    """
-    if window < 2:
-        raise ValueError("a window has two words at least")
-    names = [free_name(docs, x) for x in ("n_words", "n_removed", "kept_text")]
-    block_col = free_name(docs, "nf_block")
-    blocks = max(1, -(-text_bytes(docs, text_col) // block_bytes))
-    buckets = blocks
-    dealt = docs.withColumn(block_col, F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int"))
-    own = dealt.columns.index(block_col)
-
-    def half_level(table: pa.Table) -> pa.Table:
-        block, _ = _load(table, id_col, text_col, window)
-        keys, _, _ = block.half_keys(buckets)
-        me = table.column(own)[0].as_py()
-        low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
-        return _sent([(b, me, 0, low[lo:hi].tobytes(), None) for b, lo, hi in _cuts((keys >> _U(32)).astype(np.int64))])
-
-    def half_answers(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
-        keys, back, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        twice, at, rows = (times > 1)[back], 0, []
-        for b, me, part in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), parts):
-            rows.append((b, me, 0, np.packbits(twice[at : at + len(part)]).tobytes(), None))
+def _told(table: pa.Table, n: int) -> np.ndarray:
+    """The candidates among n windows that a block has sent itself."""
+    for kind, bits in zip(table.column("kind").to_pylist(), table.column("keys").to_pylist()):
+        if kind == _OWN:
+            return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    return np.zeros(n, bool)
+
+
+def _short_answers(table: pa.Table) -> pa.Table:
+    """For each value whether two blocks sent it."""
+    rows, parts = [], []
+    for b, me, kind, keys in zip(*(table.column(c).to_pylist() for c in ("bucket", "block", "kind", "keys"))):
+        if kind == _OWN:
+            rows.append((b, me, _OWN, keys, None))
+        else:
+            parts.append((b, me, np.frombuffer(keys, np.uint32)))
+    if parts:
+        _, back, times = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True)
+        twice, at = (times > 1)[back], 0
+        for b, me, part in parts:
+            rows.append((b, me, _SHORT, np.packbits(twice[at : at + len(part)]).tobytes(), None))
+            at += len(part)
+    return _sent(rows)
+
+
+def _full_answers(table: pa.Table) -> pa.Table:
+    """For each window whether another block has it in a document with a smaller id."""
+    rows, parts = [], []
+    for b, me, kind, keys, docs in zip(*(table.column(c).to_pylist() for c in ("bucket", "block", "kind", "keys", "docs"))):
+        if kind == _OWN:
+            rows.append((b, me, _OWN, keys, None))
+            continue
+        n = len(keys) // 12
+        parts.append((b, me, np.frombuffer(keys, _U, n), np.frombuffer(keys, np.uint32, n, 8 * n), _from_planes(docs, np.int64)))
+    if parts:
+        h1, h2, least = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        order = np.lexsort((h2, h1))
+        a, b2 = h1[order], h2[order]
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b2[1:] != b2[:-1])]))
+        lowest = np.repeat(np.minimum.reduceat(least[order], head), np.diff(np.append(head, len(order))))
+        later = np.empty(len(order), bool)
+        later[order] = lowest < least[order]
+        at = 0
+        for b, me, part, _, _ in parts:
+            rows.append((b, me, _FULL, np.packbits(later[at : at + len(part)]).tobytes(), None))
             at += len(part)
-        return _sent(rows)
+    return _sent(rows)
+
 
-    def repeated_anchors(block: _Block, answers: pa.Table) -> np.ndarray:
-        keys, here, back = block.half_keys(buckets)
-        return (_bits(answers, 0, (keys >> _U(32)).astype(np.int64)) | here)[back]
+@dataclass(frozen=True)
+class _Steps:
+    """What the tasks of one call do."""
 
-    def full_level(table: pa.Table, answers: pa.Table) -> pa.Table:
+    window: int
+    id_col: str
+    text_col: str
+    own: int
+    buckets: int
+
+    def load(self, table: pa.Table) -> tuple[_Block, np.ndarray]:
+        return _load(table, self.id_col, self.text_col, self.window)
+
+    def candidates(self, block: _Block, lengths: list[int], answers: pa.Table | None) -> np.ndarray:
+        """The windows left after the comparisons at these lengths, the last of which the answers are to."""
+        if not lengths:
+            return block.whole
+        left = block.whole.copy() if len(lengths) == 1 else _told(answers, len(block.whole))
+        keys, here, back = block.short_keys(lengths[-1], left, self.buckets)
+        left[left] = (_bits(answers, _SHORT, (keys >> _U(32)).astype(np.int64)) | here)[back]
+        return left
+
+    def sent(self, table: pa.Table, answers: pa.Table | None, before: list[int], length: int) -> pa.Table:
+        """What a block sends to be compared at that length, after the lengths before it."""
         if not table.num_rows:
             return _sent([])
-        block, _ = _load(table, id_col, text_col, window)
-        me = table.column(own)[0].as_py()
-        if not len(block.anchor):
+        block, _ = self.load(table)
+        me = table.column(self.own)[0].as_py()
+        left = self.candidates(block, before, answers)
+        if not left.any():
             return _sent([])
-        repeated = repeated_anchors(block, answers)
-        # what this block knows now travels along, so that the last step need not ask again
-        rows = [(me, me, 2, np.packbits(repeated).tobytes(), None)]
-        starts = block.candidates(repeated)
-        order, head, bucket, h1, h2 = block.full_keys(starts, buckets)
+        # what this block knows now travels along, so that the next step need not ask again
+        rows = [(me % self.buckets, me, _OWN, np.packbits(left).tobytes(), None)] if before or length == self.window else []
+        if length != self.window:
+            keys, _, _ = block.short_keys(length, left, self.buckets)
+            low = (keys & _U(0xFFFFFFFF)).astype(np.uint32)
+            return _sent(rows + [(b, me, _SHORT, low[lo:hi].tobytes(), None) for b, lo, hi in _cuts((keys >> _U(32)).astype(np.int64))])
+        starts = np.flatnonzero(left)
+        order, head, bucket, h1, h2 = block.full_keys(starts, self.buckets)
         least = block.ids[block.doc[starts[order[head]]]]
         h1, h2 = h1[head], h2[head].astype(np.uint32)
-        for b, lo, hi in _cuts(bucket[head]):
-            rows.append((b, me, 1, h1[lo:hi].tobytes() + h2[lo:hi].tobytes(), _planes(least[lo:hi])))
-        return _sent(rows)
-
-    def full_answers(table: pa.Table) -> pa.Table:
-        rows, parts = [], []
-        for b, me, kind, keys, docs_ in zip(*(table.column(c).to_pylist() for c in ("bucket", "block", "kind", "keys", "docs"))):
-            if kind == 2:
-                rows.append((b, me, 2, keys, None))
-                continue
-            n = len(keys) // 12
-            parts.append((b, me, np.frombuffer(keys, _U, n), np.frombuffer(keys, np.uint32, n, 8 * n), _from_planes(docs_, np.int64)))
-        if parts:
-            h1, h2, least = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
-            order = np.lexsort((h2, h1))
-            a, b2 = h1[order], h2[order]
-            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b2[1:] != b2[:-1])]))
-            lowest = np.repeat(np.minimum.reduceat(least[order], head), np.diff(np.append(head, len(order))))
-            later = np.empty(len(order), bool)
-            later[order] = lowest < least[order]
-            at = 0
-            for b, me, part, _, _ in parts:
-                rows.append((b, me, 1, np.packbits(later[at : at + len(part)]).tobytes(), None))
-                at += len(part)
-        return _sent(rows)
-
-    keep = [i for i in range(len(dealt.columns)) if i != own]
+        return _sent(rows + [(b, me, _FULL, h1[lo:hi].tobytes() + h2[lo:hi].tobytes(), _planes(least[lo:hi])) for b, lo, hi in _cuts(bucket[head])])
+
+    def first(self, length: int):
+        return lambda table: self.sent(table, None, [], length)
+
+    def next(self, before: list[int], length: int):
+        return lambda table, answers: self.sent(table, answers, before, length)
+
+    def gone(self, block: _Block, answers: pa.Table) -> np.ndarray:
+        """Which words lie under a repeat."""
+        starts = np.flatnonzero(_told(answers, len(block.whole)))
+        if not len(starts):
+            return np.zeros(block.n, bool)
+        order, head, bucket, _, _ = block.full_keys(starts, self.buckets)
+        elsewhere = _bits(answers, _FULL, bucket[head])
+        group = np.cumsum(head) - 1
+        ids = block.ids[block.doc[starts[order]]]
+        marked = starts[order][elsewhere[group] | (ids > ids[head][group])]
+        edge = np.zeros(block.n + 1, np.int64)
+        np.add.at(edge, marked, 1)
+        np.add.at(edge, marked + self.window, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def _exchanges(docs: DataFrame, window: int, id_col: str, text_col: str, block_bytes: int | None) -> tuple[_Steps, DataFrame, str, list[DataFrame], DataFrame]:
+    """(steps, docs with their block, the name of that column, what is sent at each length, the last answers)."""
+    if window < 2:
+        raise ValueError("a window has two words at least")
+    total = text_bytes(docs, text_col)
+    block_bytes = block_bytes or min(LARGEST_BLOCK, max(BLOCK_BYTES, int((64 * total) ** 0.5)))
+    blocks = max(1, -(-total // block_bytes))
+    name = free_name(docs, "nf_block")
+    dealt = docs.withColumn(name, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).cast("int"))
+    steps = _Steps(window, id_col, text_col, dealt.columns.index(name), max(min(blocks, FEWEST_BUCKETS), -(-blocks // BLOCKS_A_BUCKET)))
+    lengths, out, answers = levels(window), [], None
+    for k, length in enumerate(lengths):
+        if answers is None:
+            sent = dealt.groupBy(name).applyInArrow(steps.first(length), _SENT)
+        else:
+            sent = dealt.groupBy(name).cogroup(answers.groupBy("block")).applyInArrow(steps.next(lengths[:k], length), _SENT)
+        out.append(sent)
+        answers = sent.groupBy("bucket").applyInArrow(_full_answers if length == window else _short_answers, _SENT)
+    return steps, dealt, name, out, answers
+
+
+def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """docs with n_words long, n_removed long and kept_text string (kept words, one space between).
+
+    These names get underscores in front where docs has such a column.
+    """
+    names = [free_name(docs, x) for x in ("n_words", "n_removed", "kept_text")]
+    steps, dealt, block_col, _, answers = _exchanges(docs, window, id_col, text_col, block_bytes)
+    keep = [i for i in range(len(dealt.columns)) if i != steps.own]
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _empty(table, keep, names)
-        block, rows = _load(table, id_col, text_col, window)
-        gone = np.zeros(block.n, bool)
-        known = [k for k, kind in zip(answers.column("keys").to_pylist(), answers.column("kind").to_pylist()) if kind == 2]
-        if len(block.anchor) and known:
-            repeated = np.unpackbits(np.frombuffer(known[0], np.uint8), count=len(block.anchor)).astype(bool)
-            starts = block.candidates(repeated)
-            if len(starts):
-                order, head, bucket, _, _ = block.full_keys(starts, buckets)
-                elsewhere = _bits(answers, 1, bucket[head])
-                group = np.cumsum(head) - 1
-                ids = block.ids[block.doc[starts[order]]]
-                marked = starts[order][elsewhere[group] | (ids > ids[head][group])]
-                edge = np.zeros(block.n + 1, np.int64)
-                np.add.at(edge, marked, 1)
-                np.add.at(edge, marked + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-        n_words = np.zeros(table.num_rows, np.int64)
-        n_removed = np.zeros(table.num_rows, np.int64)
-        kept: list = [""] * table.num_rows
-        lo = 0
-        for row, words, hi in zip(rows.tolist(), block.words, block.ends.tolist()):
-            n_words[row] = hi - lo
-            n_removed[row] = k = int(gone[lo:hi].sum())
-            kept[row] = b" ".join(compress(words, (~gone[lo:hi]).tolist()) if k else words).decode()
-            lo = hi
-        for row in np.flatnonzero(~table.column(id_col).combine_chunks().is_valid().to_numpy(zero_copy_only=False)).tolist():
-            words = (table.column(text_col)[row].as_py() or "").encode().split()
-            n_words[row], kept[row] = len(words), b" ".join(words).decode()
+        out = table.select(keep)
+        added = [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.string())]
+        if table.num_rows:
+            block, rows = steps.load(table)
+            gone, back = steps.gone(block, answers), np.argsort(rows)
+            removed = np.bincount(block.doc[gone], minlength=block.n_docs)
+            added = [pa.array(block.counts[back].astype(np.int64)), pa.array(removed[back].astype(np.int64)), block.kept(gone).take(pa.array(back))]
         trim()
-        return pa.table([*(table.column(i) for i in keep), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())], names=[*(table.column_names[i] for i in keep), *names])
+        return pa.table([*out.columns, *added], names=[*out.column_names, *names])
 
-    halves = dealt.groupBy(block_col).applyInArrow(half_level, _SENT).groupBy("bucket").applyInArrow(half_answers, _SENT)
-    fulls = dealt.groupBy(block_col).cogroup(halves.groupBy("block")).applyInArrow(full_level, _SENT).groupBy("bucket").applyInArrow(full_answers, _SENT)
-    return dealt.groupBy(block_col).cogroup(fulls.groupBy("block")).applyInArrow(cut, schema)
+    return dealt.groupBy(block_col).cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
-def _empty(table: pa.Table, keep: list[int], names: list[str]) -> pa.Table:
-    out = table.select(keep)
-    for name, kind in zip(names, (pa.int64(), pa.int64(), pa.string())):
-        out = out.append_column(name, pa.array([], kind))
-    return out
+def candidates_by_length(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
+    """(length int, candidates long): the windows that are still looked at when a length is compared, but the first."""
+
+    def count(length: int):
+        def run(batches):
+            for batch in batches:
+                n = [int(np.unpackbits(np.frombuffer(b, np.uint8)).sum()) for k, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if k == _OWN]
+                yield pa.RecordBatch.from_arrays([pa.array([length] * len(n), pa.int32()), pa.array(n, pa.int64())], names=["length", "n"])
+
+        return run
+
+    sent = _exchanges(docs, window, id_col, text_col, block_bytes)[3]
+    each = [x.mapInArrow(count(length), "length int, n long") for length, x in zip(levels(window), sent)][1:]
+    whole = each[0]
+    for more in each[1:]:
+        whole = whole.unionByName(more)
+    return whole.groupBy("length").agg(F.sum("n").alias("candidates"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from netframe.llm.substring_dedup import drop_repeats, repeated_words
+from netframe.llm.substring_dedup import candidates_by_length, drop_repeats, levels, repeated_words
 
 
 def brute(rows, window):
@@ -59,3 +59,32 @@ def test_texts_without_repeats_stay(docs, rows):
     got = {r["doc_id"]: r for r in out.where("doc_id in (3, 200, 402)").collect()}
     assert got[3]["text"] == first and got[402]["text"] == " \t\r\n"
     assert got[200]["text"] == "" and got[200]["n_chars"] == 0
+
+
+def test_fewer_candidates_at_each_length(spark):
+    """Four shared words end at the first length, eight at the second; only a shared passage gets to the last."""
+    assert levels(13) == [4, 7, 13]
+    own = lambda k, n: [f"o{k}x{j}" for j in range(n)]
+    four, eight, passage = ([f"{c}{j}" for j in range(n)] for c, n in (("f", 4), ("e", 8), ("p", 20)))
+    parts = {k: four if k % 2 else eight for k in range(40)} | {40: passage, 41: passage}
+    rows = [(k, " ".join([*own(k, 30), *part, *own(f"{k}b", 30)])) for k, part in parts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes in (None, 1500):
+        n = {r["length"]: r["candidates"] for r in candidates_by_length(docs, block_bytes=block_bytes).collect()}
+        windows = sum(len(t.split()) - 12 for _, t in rows)
+        assert windows > 2 * n[7] > 2 * n[13] >= 2 * 2 * 8
+        # windows that no other text has even a part of are out at once, those with four or eight words in common later
+        assert n[7] <= 42 * 16 + 2 * 32 and n[13] <= 20 * 12 + 2 * 32
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_words(docs, block_bytes=1500).collect()}
+    assert {k: v for k, v in got.items() if v} == {41: 20}
+
+
+def test_one_id_and_no_id_are_spread(spark):
+    rows = [(None if k % 2 else 5, " ".join(f"r{k}x{j}" for j in range(40))) for k in range(60)] + [(9, " ".join(f"r0x{j}" for j in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, [(*r, "", "") for r in rows], 13, block_bytes=1000)
+
+
+def test_very_long_text(spark):
+    rows = [(1, " ".join(f"v{j % 5000}" for j in range(40000))), (2, " ".join(f"v{j}" for j in range(300, 900)))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), [(*r, "", "") for r in rows], 13, block_bytes=1 << 16)
