@@ -3,9 +3,13 @@
 `Encoder` gives what `Tokenizer.from_file(path).encode(text, add_special_tokens=False)` gives.
 Where the tokenizer's own splitting rule lets it, a text is cut in front of each run of
 ASCII white space; no token spans such a cut, so the ids of a text are the ids of its
-chunks one after the other.  Chunks are remembered (a bounded number), and most need no
-second encoding.  A text with other white space, and any text under a tokenizer whose rule is
-not known here, is encoded whole.
+chunks one after the other.  Arrow makes the cuts and numbers the distinct chunks, so that Python
+meets each distinct chunk of a stretch once and gathers ids by number.
+
+Chunks are remembered up to a bound; then those not met for longest are let go.  A new chunk of plain
+letters, digits and signs is parted by the tokenizer's own rule and goes straight to its merges; any
+other is encoded in full.  A text with other white space, and any text under a tokenizer whose rule
+is not known here, is encoded whole.
 """
 
 from __future__ import annotations
@@ -15,16 +19,19 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks remembered at most; then the memory starts anew.
-REMEMBERED = 800_000
-_ODD = [chr(c) for c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0x200B, 0xFEFF)]
-_SPACED = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-_BARE = re.compile("[^\x20\x09-\x0d]+")
-
-
-def has_odd_space(text: str) -> bool:
-    return any(c in text for c in (_ODD[:4] if text.isascii() else _ODD))
+#: Chunks remembered at most, and bytes of them.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
+#: Bytes of text whose chunks are numbered together.
+STRETCH = 1 << 23
+_SPACED, _BARE = "chunks begin with their white space", "white space is dropped"
+_MARK = "\x01"
+#: The mark itself and white space other than ASCII's.
+_ODD = "[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: Chunks that _plain_runs can take: letters of Latin-1, digits and signs but "<", which may begin a special token.
+_PLAIN = re.compile("[ \n]?[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
 
 class _Index(dict):
@@ -49,11 +56,14 @@ class Encoder:
         # a special token parts texts that are encoded in one call: what stands on its two sides never meets
         own = [t for t in spec.get("added_tokens", []) if t.get("special") and not t.get("normalized")]
         self.divider = (own[-1]["content"], own[-1]["id"]) if own else None
+        self.plain = self.cut is not None and not offsets and all(t["content"][:1] == "<" for t in spec.get("added_tokens", []))
+        if self.plain:
+            self._spell(spec)
         self._forget()
 
     @staticmethod
     def _rule(spec: dict):
-        """The chunk pattern under which the tokenizer is local, or None."""
+        """How the tokenizer lets texts be cut, or None."""
         pre, plain = spec.get("pre_tokenizer") or {}, not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
         if not plain or (spec.get("model") or {}).get("dropout"):
             return None
@@ -66,15 +76,62 @@ class Encoder:
             return _BARE
         return None
 
+    def _spell(self, spec: dict) -> None:
+        """Byte-level spellings of plain characters, and the tokenizer's splitting rule on spelled text.
+
+        Letters of Latin-1 are spelled as one lead character and one of 64 others; the byte 1 parts chunks.
+        """
+        char = {b: c for c, b in byte_of_char().items()}
+        self.spelled = {chr(k): "".join(char[b] for b in chr(k).encode()) for k in (10, 32, *range(0xC0, 0x100))}
+        self.part, self.lead = char[1], char[0xC3]
+        letters = "A-Za-z" + re.escape("".join({c for k in range(0xC0, 0x100) for c in self.spelled[chr(k)]}))
+        blanks = re.escape(char[10] + char[32] + self.part)
+        blank = f"{char[32]}?" if self.cut is _SPACED else ""
+        digits = "[0-9]+" if self.cut is _SPACED else "[0-9]"
+        self.pieces = re.compile(f"'(?:s|t|re|ve|m|ll|d)|{blank}[{letters}]+|{blank}{digits}|{blank}[^{letters}0-9{blanks}]+|[{blanks}]").findall
+        self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers") or [])
+
     def _forget(self) -> None:
         self.index = _Index()
         self.n = 0
         self.used = 0
+        self.held = 0
+        self.clock = 0
+        self.met = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.lens = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.spans = np.zeros((4096, 2), np.int32) if self.offsets else None
 
+    def _thin(self) -> None:
+        """Let the half of the chunks go that were not met for longest."""
+        met = self.met[: self.n]
+        stay = np.flatnonzero(met > np.partition(met, self.n // 2)[self.n // 2])
+        names = list(self.index)
+        lens, old, clock = self.lens[stay], self, self.clock
+        total = int(lens.sum())
+        pos = np.repeat(self.starts[stay] - (np.cumsum(lens) - lens), lens) + np.arange(total)
+        flat, spans, met = self.flat[pos], self.spans[pos] if self.offsets else None, met[stay]
+        self._forget()
+        self._room(len(stay), total)
+        for k in stay.tolist():
+            self.index[names[k]] = len(self.index)
+        self.held = sum(len(names[k]) for k in stay.tolist())
+        self.clock, self.n, self.used = clock, len(stay), total
+        self.lens[: self.n], self.starts[: self.n], self.met[: self.n] = lens, np.cumsum(lens) - lens, met
+        self.flat[:total] = flat
+        if old.offsets:
+            self.spans[:total] = spans
+
+    def _room(self, n: int, total: int) -> None:
+        """Grow the arrays for n more chunks and total more ids."""
+        while self.n + n > len(self.lens):
+            self.starts, self.lens, self.met = (np.resize(x, 2 * len(x)) for x in (self.starts, self.lens, self.met))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if self.offsets:
+                self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+
     def _runs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list | None]:
         """(lengths of the chunks' id runs, the ids, their spans if asked for)."""
         if self.offsets or not self.divider or any(self.divider[0][0] in c for c in chunks):
@@ -89,89 +146,117 @@ class Encoder:
         ends = np.flatnonzero(ids == number)
         return np.diff(ends, prepend=-1) - 1, ids[ids != number], None
 
+    def _plain_runs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, None]:
+        """The same for plain chunks: all are spelled and split at once, each piece goes through the model's merges."""
+        text = "\0".join(chunks)
+        if self.lower:
+            text = text.lower()
+        for c in sorted(set(text) & self.spelled.keys(), key=self.lead.__ne__):  # the lead character itself first
+            text = text.replace(c, self.spelled[c])
+        pieces = self.pieces(text.replace("\0", self.part))
+        ends = np.array([k for k, p in enumerate(pieces) if p == self.part], np.int64) - np.arange(len(chunks) - 1)
+        found = list(map(self.tokenizer.model.tokenize, [p for p in pieces if p != self.part]))
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        ids = np.array([t.id for x in found for t in x], np.uint32)
+        return np.diff(total[np.append(ends, len(found))], prepend=0), ids, None
+
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks that have just got their numbers."""
-        first = self.divider[0][0] if self.divider else ""
-        odd = np.fromiter((first in c for c in chunks), bool, len(chunks)) if first else np.zeros(len(chunks), bool)
-        lo = 0
-        while lo < len(chunks):
-            # chunks that may hold a divider are encoded one by one
-            same = np.flatnonzero(odd[lo : lo + 4096] != odd[lo])
-            hi = lo + (int(same[0]) if len(same) else len(odd[lo : lo + 4096]))
-            lens, ids, spans = self._runs(chunks[lo:hi])
-            n, total = hi - lo, len(ids)
-            while self.n + n > len(self.lens):
-                self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if self.offsets:
-                    self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-            self.lens[self.n : self.n + n] = lens
-            self.starts[self.n : self.n + n] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + total] = ids
-            if self.offsets and total:
-                self.spans[self.used : self.used + total] = spans
-            self.n += n
-            self.used += total
-            lo = hi
-
-    def _lookup(self, chunks: list[str]) -> np.ndarray:
-        index = self.index
-        at = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
-        if len(index) > self.n:
-            self._learn(list(_last(index, len(index) - self.n)))
-        return at
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        kinds = np.zeros(len(chunks), np.int8)
+        if self.plain:
+            kinds[[_PLAIN.fullmatch(c) is not None for c in chunks]] = 2
+        if self.divider:  # chunks that may hold a divider are encoded one by one
+            kinds[[self.divider[0][0] in c for c in chunks]] = 1
+        runs: list = []
+        for kind in (0, 1, 2):
+            which = np.flatnonzero(kinds == kind)
+            for lo in range(0, len(which), 1 << 13):
+                part = which[lo : lo + (1 << 13)]
+                runs.append((part, *(self._plain_runs if kind == 2 else self._runs)([chunks[k] for k in part.tolist()])))
+        for part, lens, ids, spans in runs:
+            self._room(len(chunks), len(ids))
+            self.lens[self.n + part] = lens
+            self.starts[self.n + part] = self.used + np.cumsum(lens) - lens
+            self.flat[self.used : self.used + len(ids)] = ids
+            if self.offsets and len(ids):
+                self.spans[self.used : self.used + len(ids)] = spans
+            self.used += len(ids)
+        self.n += len(chunks)
+        self.held += sum(map(len, chunks))
+
+    def _numbers(self, chunks: pa.DictionaryArray) -> np.ndarray:
+        """The numbers of the chunks, after those that are new have been encoded."""
+        if len(self.index) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self._thin()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        if len(self.index) > self.n:
+            self._learn(list(_last(self.index, len(self.index) - self.n)))
+        self.clock += 1
+        self.met[at] = self.clock
+        return at[chunks.indices.to_numpy()]
+
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        if self.cut is _BARE:
+            return pc.ascii_split_whitespace(texts)
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", f"{_MARK} "), "\n", f"{_MARK}\n")
+        runs = pc.or_(pc.match_substring_regex(marked, f"{_MARK}[ \n]{_MARK}"), pc.match_substring_regex(texts, "[\t\x0b-\r]"))
+        if pc.any(runs).as_py():  # longer runs and other white space
+            marked = pc.replace_with_mask(marked, runs, pc.replace_substring_regex(texts.filter(runs), "([\t-\r ]+)", f"{_MARK}\\1"))
+        return pc.split_pattern(marked, _MARK)
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
+        """Which texts must be encoded in one piece."""
+        if self.cut is None or (self.offsets and self.cut is _BARE):
+            return np.ones(len(texts), bool)
+        if self.cut is _BARE:
+            return np.zeros(len(texts), bool)
+        return pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids of all texts, ends of each text among them, character spans if asked for)."""
-        ids, spans, counts = [], [], []
-        group: list[list[str]] = []
-        size = 0
-
-        def flush():
-            nonlocal group, size
-            if not group:
-                return
-            if len(self.index) > REMEMBERED:
-                self._forget()
-            sizes = np.array([len(g) for g in group], np.int64)
-            chunks = [c for g in group for c in g]
-            at = self._lookup(chunks)
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = self._whole(texts)
+        counts = np.zeros(len(texts), np.int64)
+        parted = texts.filter(pa.array(~whole)) if whole.any() else texts
+        done = [np.zeros(0, np.int64)]
+        ids, spans = [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.int64)]
+        for lo, hi in _stretches(pc.binary_length(parted).to_numpy(zero_copy_only=False)):
+            lists = self._chunks(parted.slice(lo, hi - lo))
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            chunks = lists.flatten().dictionary_encode()
+            at = self._numbers(chunks)
             lens = self.lens[at]
             total = int(lens.sum())
-            before = np.cumsum(lens) - lens
-            pos = np.repeat(self.starts[at] - before, lens) + np.arange(total)
+            pos = np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens) + np.arange(total)
             ids.append(self.flat[pos])
-            ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(sizes)]
-            counts.append(np.diff(ends, prepend=0))
+            text_ends = np.cumsum(sizes)
+            done.append(np.diff(np.concatenate([[0], np.cumsum(lens)])[text_ends], prepend=0))
+            if self.offsets:
+                widths = pc.utf8_length(chunks.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[chunks.indices.to_numpy()]
+                ends = np.concatenate([[0], np.cumsum(widths)])
+                spans.append(self.spans[pos] + np.repeat(ends[:-1] - np.repeat(ends[text_ends - sizes], sizes), lens)[:, None])
+        counts[~whole] = np.concatenate(done)
+        ids_, spans_ = np.concatenate(ids), np.concatenate(spans)
+        if whole.any():
+            single = [self.tokenizer.encode(t, add_special_tokens=False) for t in texts.filter(pa.array(whole)).to_pylist()]
+            counts[whole] = [len(e.ids) for e in single]
+            own = np.repeat(whole, counts)
+            merged, merged_spans = np.empty(len(own), np.uint32), np.empty((len(own), 2), np.int64)
+            merged[~own], merged[own] = ids_, np.fromiter((i for e in single for i in e.ids), np.uint32, int(own.sum()))
             if self.offsets:
-                widths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-                first = np.cumsum(widths) - widths
-                text_first = np.concatenate([[0], np.cumsum(widths)])[np.cumsum(sizes) - sizes]
-                first -= np.repeat(text_first, sizes)
-                spans.append(self.spans[pos] + np.repeat(first, lens)[:, None])
-            group, size = [], 0
-
-        for text in texts:
-            if self.cut is None or (self.cut is _SPACED and has_odd_space(text)) or (self.offsets and self.cut is _BARE):
-                flush()
-                e = self.tokenizer.encode(text, add_special_tokens=False)
-                ids.append(np.array(e.ids, np.uint32))
-                counts.append(np.array([len(e.ids)], np.int64))
-                if self.offsets:
-                    spans.append(np.array(e.offsets, np.int64).reshape(-1, 2))
-                continue
-            group.append(self.cut.findall(text))
-            size += len(text)
-            if size > 1 << 20:
-                flush()
-        flush()
-        counts_ = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return (
-            np.concatenate(ids) if ids else np.zeros(0, np.uint32),
-            np.cumsum(counts_),
-            (np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)) if self.offsets else None,
-        )
+                merged_spans[~own], merged_spans[own] = spans_, np.array([s for e in single for s in e.offsets], np.int64).reshape(-1, 2)
+            ids_, spans_ = merged, merged_spans
+        return ids_, np.cumsum(counts), spans_ if self.offsets else None
+
+
+def _stretches(sizes: np.ndarray):
+    """(lo, hi) of texts of about STRETCH bytes together."""
+    ends, lo = np.cumsum(sizes.astype(np.int64)), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STRETCH, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _last(d: dict, n: int):
