@@ -10,14 +10,19 @@ and the shards' names ascend likewise:
     tail      8-byte length of the footer, 8-byte mark "NFTOKEN1"
 
 A manifest (Parquet, one row for each shard) gives each shard the ids before it.  A boundary
-costs 2 + log2(mean length) bits, and select finds one without a table of 64-bit offsets.
+costs 2 + log2(mean length) bits; select finds one, or a run of them, from the nearest sample without
+a table of 64-bit offsets, and is what all readers use.
 
 Writing: documents are dealt by ranges of doc_id and sorted; each task streams its shard under
 another name and renames it when whole, so a repeated task does no harm.  Files are opened
-through pyarrow's file systems, on whatever storage spark.checkpoint.dir names.
-
-Cases: a null text is an empty one and has the end id alone; documents with one doc_id stand
-next to each other; null ids stand first; an empty table makes a store without shards.
+through pyarrow's file systems, on whatever storage spark.checkpoint.dir names.  Shards are about
+shard_bytes of text, and larger where there would be more than MOST_SHARDS: the ranges come from a
+sample on the driver that grows with their number.
+
+Cases: ids are whole numbers; a null text is an empty one and has the end id alone; documents with one
+doc_id, repeated rows too, stand next to each other, in the order of a hash of their texts, and may be
+dealt to several shards; null ids stand first and are dealt likewise; a very long text is encoded in one
+task; an empty table makes a store without shards; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +45,9 @@ from .common import row_ranges, text_bytes, trim
 MARK = b"NFTOKEN1"
 SAMPLE = 256
 SHARD_BYTES = 32 << 20
+MOST_SHARDS = 20_000
+#: Places of the set bits of each byte.
+_ONES = np.array([[k for k in range(8) if b >> k & 1] + [0] * (8 - b.bit_count()) for b in range(256)], np.int64)
 
 
 class EliasFano:
@@ -91,14 +99,38 @@ class EliasFano:
         place = 8 * at + (byte & -byte).bit_length() - 1
         return ((place - i) << self.bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = (places - np.arange(self.n)) << self.bits
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """Numbers lo to hi - 1: bytes between the nearest samples are counted, the bits of each looked up."""
+        if not 0 <= lo <= hi <= self.n:
+            raise IndexError((lo, hi))
+        if lo == hi:
+            return np.zeros(0, np.int64)
+        place, after = int(self.samples[lo // SAMPLE]), -(-hi // SAMPLE)
+        first, last = place // 8, int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        data = self.high[first:last].copy()
+        data[0] &= (0xFF << place % 8) & 0xFF
+        upto = np.cumsum(np.bitwise_count(data), dtype=np.int64)
+        nth = np.arange(lo, hi) - lo // SAMPLE * SAMPLE
+        at = np.searchsorted(upto, nth, side="right")
+        before = np.where(at > 0, upto[at - 1], 0)
+        values = (8 * (first + at) + _ONES[data[at], nth - before] - np.arange(lo, hi)) << self.bits
         if self.bits:
-            low = np.unpackbits(self.low, count=self.n * self.bits, bitorder="little").reshape(self.n, self.bits)
-            values |= low.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
+            start = lo * self.bits // 8
+            low = np.unpackbits(self.low[start : -(-hi * self.bits // 8)], bitorder="little")[lo * self.bits - 8 * start :][: (hi - lo) * self.bits]
+            values |= low.reshape(hi - lo, self.bits).astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
         return values
 
+    def count_upto(self, lo: int, limit: int) -> int:
+        """The largest k > lo whose number is at most limit, but lo + 1 at least; by select and halving."""
+        k, end = lo + 1, self.n - 1
+        while k < end:
+            mid = (k + end + 1) // 2
+            if self.select(mid) <= limit:
+                k = mid
+            else:
+                end = mid - 1
+        return k
+
 
 def _write_shard(uri: str, parts) -> dict:
     """parts: (doc_ids list, ids, ends) in order.  Returns the footer."""
@@ -147,13 +179,22 @@ class Shard:
         """Ids of document k of this shard, found by select."""
         return self.ids(self.bounds.select(k), self.bounds.select(k + 1))
 
+    def documents(self, most: int):
+        """(doc_ids, bounds in this shard) of runs of documents with about `most` ids together; bounds by select."""
+        lo, n, nulls = 0, self.foot["n_docs"], self.foot["nulls"]
+        while lo < n:
+            hi = self.bounds.count_upto(lo, self.bounds.select(lo) + most)
+            own = self.names.select_range(max(0, lo - nulls), max(0, hi - nulls)) + self.foot["least"]
+            yield [None] * (max(nulls, lo) - lo if hi > nulls else hi - lo) + own.tolist(), self.bounds.select_range(lo, hi + 1)
+            lo = hi
+
     def close(self) -> None:
         self.file.close()
 
 
 def write_store(docs: DataFrame, uri: str, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode docs and write a store at uri; path is a tokenizers file."""
-    shards = max(1, -(-text_bytes(docs, text_col) // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-text_bytes(docs, text_col) // shard_bytes)))
 
     def run(batches):
         shard = TaskContext.get().partitionId()
@@ -164,8 +205,8 @@ def write_store(docs: DataFrame, uri: str, path: str, end_id: int = 1, id_col: s
         def parts():
             for batch in batches:
                 sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                for lo, hi in row_ranges(sizes):
-                    ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+                for lo, hi in row_ranges(sizes, 1 << 23):
+                    ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo))
                     out = np.full(len(ids) + len(ends), end_id, np.uint32)
                     out[np.arange(len(ids)) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))] = ids
                     yield batch.column(0).slice(lo, hi - lo).to_pylist(), out, ends + np.arange(1, len(ends) + 1), width
@@ -175,7 +216,8 @@ def write_store(docs: DataFrame, uri: str, path: str, end_id: int = 1, id_col: s
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([foot["n_docs"]]), pa.array([foot["n_tokens"]])], names=["shard", "file", "n_docs", "n_tokens"])
 
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("nf_text"))
-    dealt = base.repartitionByRange(shards, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
+    order = F.col(id_col).asc_nulls_first(), F.xxhash64("nf_text")  # rows with one id, or none, may need several shards
+    dealt = base.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long").write.parquet(f"{uri}/manifest")
 
 
@@ -192,13 +234,11 @@ def read_store(spark: SparkSession, uri: str) -> DataFrame:
         for batch in batches:
             for uri_, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(uri_)
-                bounds, foot = shard.bounds.all(), shard.foot
-                names = [None] * foot["nulls"] + (shard.names.all() + foot["least"]).tolist()
-                for lo, hi in row_ranges(np.diff(bounds), 1 << 21):
-                    ids = shard.ids(int(bounds[lo]), int(bounds[hi]))
-                    offsets = ((bounds[lo : hi + 1] - bounds[lo]) * 4).astype(np.int32)
-                    data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                    yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(base + bounds[lo:hi]), pa.array(np.diff(bounds[lo : hi + 1])), data], names=["doc_id", "start", "n_tokens", "ids"])
+                for names, bounds in shard.documents(1 << 21):
+                    ids = shard.ids(int(bounds[0]), int(bounds[-1]))
+                    offsets = ((bounds - bounds[0]) * 4).astype(np.int32)
+                    data = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), data], names=["doc_id", "start", "n_tokens", "ids"])
                 shard.close()
 
     spread = manifest.select("file", before.alias("base")).repartition(manifest.select("file").count() or 1, "file")
