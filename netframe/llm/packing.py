@@ -9,11 +9,13 @@
 
 After best fit no two bins of a partition go into one, so at most one of them is half empty
 and only as many bins as there are partitions can still be saved.  Going up, a node hands on
-its CARRY emptiest bins; the rest are done as they are.  So no task gets more than
-FANIN * CARRY bins, at any size of the corpus.
+its `carry` emptiest bins (CARRY, unless asked otherwise); the rest are done as they are.  So no task gets
+more than FANIN * carry bins, at any size of the corpus.  With carry=None every underfull bin goes up, to
+one last task that holds all that are left.
 
-Cases: a null or empty text is one piece, the end id; repeated rows are packed each for itself; the
-columns asked for in `keep` go along.
+Cases: a null or empty text is one piece, the end id; repeated rows are packed each for itself; a very long
+text is encoded in one task and cut; the other columns of `pieces` go along, those of documents are not read;
+an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id
         e = encoder(path)
         for batch in batches:
             sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in row_ranges(sizes):
-                ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+            for lo, hi in row_ranges(sizes, 1 << 23):
+                ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo))
                 out = np.full(len(ids) + len(ends), end_id, "<u4")
                 doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 out[np.arange(len(ids)) + doc] = ids
@@ -88,7 +90,7 @@ def best_fit(sizes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndar
     return bins, places, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK, fanin: int = FANIN, carry: int = CARRY) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK, fanin: int = FANIN, carry: int | None = CARRY) -> DataFrame:
     """pieces (with a column length, 1 to limit) and sequence_id long, offset long.
 
     pieces must come from files (or another source that a second reading deals alike).
@@ -101,7 +103,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, slack: int = SLACK, fanin: int =
         done = fill >= limit - slack
         if last:
             done[:] = True
-        elif (~done).sum() > carry:
+        elif carry is not None and (~done).sum() > carry:
             left = np.flatnonzero(~done)
             done[left[np.argsort(fill[left], kind="stable")[carry:]]] = True
         made = (level << 58) | (node << 30) | bins
