@@ -16,7 +16,8 @@ A window that has grown over both sides is the encoding itself.
 Shorter texts are encoded at once.  Decoding concatenates the tokens' bytes and reads UTF-8.
 
 Cases: a null text is an empty one and has no tokens; rows are kept one for one, repeated and
-null ids included; extra columns are not read.
+null ids included; an empty table has an empty result; extra columns are not read.  The leaves of one text
+meet in one task, and those of repeated rows of one long text with them.
 """
 
 from __future__ import annotations
@@ -165,8 +166,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         e, decoder = tools()
         for batch in batches:
             sizes = pa.compute.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in row_ranges(sizes):
-                ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo).to_pylist())
+            for lo, hi in row_ranges(sizes, 1 << 23):
+                ids, ends, _ = e.encode(batch.column(1).slice(lo, hi - lo))
                 yield _answer(batch.column(0).slice(lo, hi - lo), ids, ends, decoder, id_col)
         trim()
 
@@ -197,7 +198,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.Table.from_batches([one] * times)  # repeated rows share their leaves
 
     is_long = F.length("nf_text") > leaf
-    parts = base.where(is_long).mapInArrow(leaves, f"`{id_col}` {kind}, mark long, leaf int, part string").repartition(id_col, "mark", "leaf")
+    parts = base.where(is_long).mapInArrow(leaves, f"`{id_col}` {kind}, mark long, leaf int, part string").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col, "mark", "leaf")  # a number given is not made smaller
     pieces = parts.mapInArrow(encoded, f"`{id_col}` {kind}, mark long, leaf int, part string, ids binary, starts binary, heads binary")
     long = pieces.groupBy(id_col, "mark").applyInArrow(joined, schema)
     return base.where(~is_long).mapInArrow(short, schema).unionByName(long)
