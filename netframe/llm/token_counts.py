@@ -10,8 +10,10 @@ each token is counted for exactly one section.  The rule for a token over a boun
 A token with no character in any section is counted under section -1.  So the counts of a
 document always add up to its tokens, which counting its sections one by one does not give.
 
-Cases: a null text is an empty one; a document without sections or tokens has one row, section 0
-with no tokens; repeated rows are counted each for itself.
+Cases: a null text is an empty one; a document without tokens has a row for each section, or one of section 0
+if it has none, with no tokens; one without sections but with tokens counts them all under section -1;
+repeated rows are counted each for itself; a very long text is encoded in one task; an empty table has an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -92,17 +94,19 @@ def section_tokens(docs: DataFrame, path: str, sections: Callable[[str], list[tu
                 doc, sec, bounds, tokens, cross = [], [], [], [], []
                 at = 0
                 for k, end in enumerate(ends.tolist()):
-                    own_ = np.array(given[k] or [(0, len(texts[k]))], np.int64).reshape(-1, 2)
+                    # without sections there is one without characters, for a text without tokens
+                    own_ = np.array(given[k] or [(0, 0)], np.int64).reshape(-1, 2)
                     owner, crossing = allot(spans[at:end], own_, rule)
                     at = end
                     n = np.bincount(owner + 1, minlength=len(own_) + 1)
                     c = np.bincount(owner[crossing] + 1, minlength=len(own_) + 1)
                     skip = int(n[0] == 0)  # section -1 only if it has tokens
-                    sec.append(np.arange(-1 + skip, len(own_)))
-                    bounds.append(np.concatenate([[[0, 0]], own_])[skip:])
-                    tokens.append(n[skip:])
-                    cross.append(c[skip:])
-                    doc.append(np.full(len(n) - skip, k))
+                    stop = 1 if n[0] and not given[k] else len(n)
+                    sec.append(np.arange(-1 + skip, stop - 1))
+                    bounds.append(np.concatenate([[[0, 0]], own_])[skip:stop])
+                    tokens.append(n[skip:stop])
+                    cross.append(c[skip:stop])
+                    doc.append(np.full(stop - skip, k))
                 doc_, b = np.concatenate(doc), np.concatenate(bounds)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(doc_)), pa.array(np.concatenate(sec).astype(np.int32)), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(cross).astype(np.int64))],

@@ -10,13 +10,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from netframe.llm import packing, token_counts, token_store
+from netframe.llm import bpe, packing, token_counts, token_store
 from netframe.llm.bpe import Decoder, Encoder
 from netframe.llm.common import fresh_dir
 from netframe.llm.tree_bpe import Piece, encode_decode, join_tree
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 LIB = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
+prose_of = lambda k: " ".join(f"word{(k * 7 + j) % 50}" for j in range(k % 23))
 ALPHABET = "ab lve'rs\n\t 09.,!?-éñ日本😀  \x1c\x85#<|endoftext|>́ͅ"
 
 
@@ -32,6 +33,32 @@ def test_encoder_is_the_library(path, texts):
         lo = hi
 
 
+LATIN = "".join(map(chr, [9, 10, 11, 12, 13, 28, *range(32, 127), *range(0xA0, 0x100)])) + "         "
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=LATIN, max_size=80), max_size=6))
+def test_plain_chunks_are_the_library(path, texts):
+    e = Encoder(path)
+    ids, ends, _ = e.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [LIB[path].encode(t, add_special_tokens=False).ids for t in texts] or not texts
+
+
+@pytest.mark.parametrize("offsets", [False, True])
+def test_forgotten_chunks_are_encoded_anew(monkeypatch, rows, offsets):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "STRETCH", 400)
+    e = Encoder(BYTE, offsets)
+    texts = [t or "" for _, t, *_ in rows]
+    for _ in range(2):
+        ids, ends, spans = e.encode(texts)
+        want = [LIB[BYTE].encode(t, add_special_tokens=False) for t in texts]
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [w.ids for w in want]
+        assert not offsets or [tuple(s) for s in spans.tolist()] == [s for w in want for s in w.offsets]
+    assert len(e.index) < 800
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet=ALPHABET, max_size=60), max_size=6))
 def test_decoder_and_offsets(texts):
@@ -77,8 +104,24 @@ def test_store_round_trip(spark, docs, rows):
     files = [r["file"] for r in spark.read.parquet(f"{uri}/manifest").where("n_docs > 0").collect()]
     assert len(files) > 3
     shard = token_store.Shard(files[0])
-    k = shard.foot["n_docs"] - 1
-    assert shard.document(k).tolist() == shard.ids(*shard.bounds.all()[k : k + 2].tolist()).tolist()
+    n = shard.foot["n_docs"]
+    bounds = [shard.bounds.select(k) for k in range(n + 1)]
+    for most in (1, 50, 10**6):
+        runs = list(shard.documents(most))
+        assert [b for _, x in runs for b in x[:-1].tolist()] == bounds[:-1] and sum(len(names) for names, _ in runs) == n
+    assert shard.document(n - 1).tolist() == shard.ids(*bounds[-2:]).tolist()
+
+
+def test_one_id_in_many_shards(spark):
+    """Rows that share an id, or have none, need not fit into one shard."""
+    rows = [(None if k % 3 else 4, prose_of(k)) for k in range(300)] + [(1, "first"), (9, "last")]
+    uri = fresh_dir(spark, "tokens")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), uri, WORD, shard_bytes=2000)
+    assert spark.read.parquet(f"{uri}/manifest").where("n_docs > 0").count() > 4
+    got = token_store.read_store(spark, uri).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    key = lambda i, b: (i, zlib.crc32(bytes(b)))
+    assert Counter(key(r["doc_id"], r["ids"]) for r in got) == Counter(key(i, np.array(LIB[WORD].encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, t in rows)
 
 
 def test_empty_store(spark, empty):
@@ -92,9 +135,9 @@ def test_empty_store(spark, empty):
 def test_elias_fano(gaps):
     values = np.cumsum(np.array(gaps, np.int64)) if gaps else np.zeros(0, np.int64)
     ef = token_store.EliasFano.load(token_store.EliasFano.of(values).dump())
-    assert ef.all().tolist() == values.tolist()
+    assert ef.select_range(0, len(values)).tolist() == values.tolist()
     for k in range(0, len(values), 37):
-        assert ef.select(k) == values[k]
+        assert ef.select(k) == values[k] and ef.select_range(k, min(len(values), 3 * k + 1)).tolist() == values[k : 3 * k + 1].tolist()
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -149,6 +192,16 @@ def test_packing_through_a_tree(spark):
     assert packed_well(out, want, 1024) <= total / 1024 * 1.05 + 4
 
 
+def test_what_the_bound_on_carried_bins_costs(spark):
+    """Without the bound every underfull bin goes up; with the production bound the loss is small."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).repartition(8).select("id", (F.pmod(F.xxhash64("id"), F.lit(700)) + 300).cast("long").alias("length"))
+    pieces = packing.materialize(df, "pieces")
+    n = {carry: packing.pack(pieces, carry=carry).select("sequence_id").distinct().count() for carry in (None, packing.CARRY, 16)}
+    assert n[None] <= n[packing.CARRY] <= 1.01 * n[None] and n[16] <= 1.05 * n[None]
+
+
 @settings(max_examples=100, deadline=None)
 @given(sizes=st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_leaves_no_two_bins_for_one(sizes):
@@ -181,6 +234,9 @@ def test_sections_in_a_column(spark, empty):
     starts = {(r["section"]): r["n_tokens"] for r in token_counts.section_tokens(df.where("doc_id = 1"), BYTE, "spans", "start").collect()}
     assert starts == {-1: 2, 0: 1, 1: 0}
     assert token_counts.section_tokens(empty, BYTE).count() == 0
+    none = spark.createDataFrame([(1, "three tokens here", []), (2, "two here", None), (3, "", [(0, 0)])], "doc_id long, text string, spans array<struct<a: long, b: long>>")
+    got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in token_counts.section_tokens(none, BYTE, "spans").collect()}
+    assert got == {(1, -1): 3, (2, -1): 2, (3, 0): 0}
 
 
 def test_digests_are_of_the_ids(docs):
