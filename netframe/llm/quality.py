@@ -5,21 +5,29 @@ shared folder and used twice: for the sketches and for the filter joined with th
 
 A sketch is a table of counts by bin (language, source, measure, bin), so two sketches
 merge by adding counts, in any order and with the same result on every run, which a
-randomised sketch (KLL) would not give.  Bins are TOP at most and as wide as MEASURES says, so a
-sketch has a bounded size and a quantile is right to one bin.  The group-by adds counts up
-before its shuffle: a hot source costs a task one row for each bin.  The language's sketch is
-merged from its sources'.
-
-Thresholds: of each measure the quartiles q1 and q3 of the (language, source) sketch, or of the
-language's if the source has under FEWEST rows.  A text fails where a measure lies above
-q3 + REACH * (q3 - q1) + slack, or for measures with a lower end below q1 - REACH * (q3 - q1) - slack.
-A corpus of even quality loses nothing, whatever its level; outliers go.
+randomised sketch (KLL) would not give.  Bins are log-linear: a value, in millionths, is cut to
+its DIGITS leading binary digits, so a quantile is right to one part in 64 at any size of the
+value, nothing is clipped, and a sketch has at most 64 bins for each doubling.  The group-by adds
+counts up before its shuffle: a hot source costs a task one row for each bin.  The sketches of a
+language and of everything are merged from those of the sources.  Texts that fail the base rules
+are not counted.
+
+Thresholds: of each measure the 1st, 5th and 9th decile d1, d5 and d9 of a sketch give the limits
+d9 + REACH * (d9 - d5) and, for measures with a lower end, d1 - REACH * (d5 - d1).  No constant stands
+in for them: in a source whose texts have no symbols the limit is 0.  A language's limits are
+averaged with those of everything, and a source's with those of its language, by their numbers of rows
+against PRIOR_ROWS, so that a small source leans on its language without a switch.
+
+A text's share is an estimate from a few countable events (symbols, lines, repeated windows); it fails
+only if the share is surely above the limit: events k less SIGMAS * sqrt(k).  Word lengths are compared
+as they are.
 
 kept is false if the base rules fail (under 10 words, or over a fifth of the words in repeated
 5-word windows) or a threshold is passed.
 
 Cases: a null or empty text has no words and fails the base rules; null languages and sources are groups of
-their own; repeated rows are judged alike; extra columns are not read.
+their own; repeated rows are judged alike; extra columns are not read, and may have any names; a very long text
+is measured whole, in one row; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +39,16 @@ from .common import free_name, let, materialize
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
-FEWEST = 200
 REACH = 3
-TOP = 1000
-#: measure: (counted, of what, bins for a value of 1, slack in bins, whether small values count as outliers too)
+SIGMAS = 2
+PRIOR_ROWS = 100
+DIGITS = 7
+#: measure: (counted, of what, how many of the counted make one event; None for a mean with two ends)
 MEASURES = {
-    "symbol_share": ("n_symbols", "word_chars", 1000, 30, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 350, False),
-    "repeat_share": ("n_repeat_words", "n_words", 1000, 150, False),
-    "word_length": ("word_chars", "n_words", 20, 10, True),
+    "symbol_share": ("n_symbols", "word_chars", 1),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", GRAM),
+    "word_length": ("word_chars", "n_words", None),
 }
 _WORD_BREAK = r"[\x20\x09-\x0D]+"
 
@@ -93,15 +102,36 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _bins() -> dict[str, Column]:
-    """Bin of each measure; null where it has no value."""
-    return {name: F.least(F.lit(TOP), F.floor(F.try_divide(F.lit(per) * F.col(x), F.col(y)))).cast("int") for name, (x, y, per, _, _) in MEASURES.items()}
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def _millionths(x: Column, of: str) -> Column:
+    return F.floor(F.try_divide(F.lit(1_000_000) * x, F.col(of)))
+
+
+def _values() -> dict[str, Column]:
+    """Each measure in millionths; null where it has no value."""
+    return {name: _millionths(F.col(x), of) for name, (x, of, _) in MEASURES.items()}
+
+
+def _sure(name: str) -> Column:
+    """What the measure surely amounts to, in millionths."""
+    x, of, unit = MEASURES[name]
+    events = F.col(x) / F.lit(unit)
+    return _millionths(F.lit(unit) * (events - F.lit(SIGMAS) * F.sqrt(events)), of)
+
+
+def _bin(value: Column) -> Column:
+    """The value's DIGITS leading binary digits."""
+    cut = F.greatest(F.lit(0), F.length(F.bin(value)) - DIGITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, cut), cut)
 
 
 def sketch(measured: DataFrame, *by: str) -> DataFrame:
     """(by..., measure, bin, n): the quantile sketches."""
-    long = measured.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), x.alias("bin")) for k, x in _bins().items()))).alias("m"))
-    return long.select(*by, "m.measure", "m.bin").where("bin is not null").groupBy(*by, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+    long = measured.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), x.alias("value")) for k, x in _values().items()))).alias("m"))
+    return long.where("m.value is not null").select(*by, "m.measure", _bin(F.col("m.value")).alias("bin")).groupBy(*by, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketches: DataFrame, *by: str) -> DataFrame:
@@ -110,42 +140,49 @@ def merge(sketches: DataFrame, *by: str) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame, *by: str) -> DataFrame:
-    """(by..., rows long, limits map<measure, struct<low, high>>) of each sketch."""
+    """(by..., measure, rows long, low long, high long) of each sketch."""
     at = F.array_sort(F.collect_list(F.struct("bin", "n")))  # as many items as there are bins, at most
     listed = sketches.groupBy(*by, "measure").agg(at.alias("bins"), F.sum("n").alias("rows"))
 
-    def quantile(part: float) -> Column:
+    def decile(tenths: int) -> Column:
         """The least bin with at least that part of the rows up to it."""
         step = F.aggregate(
             "bins",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bin")),
-            lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["bin"], F.when(a["seen"] + x["n"] >= F.col("rows") * part, x["bin"])).alias("bin")),
+            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin")),
+            lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["bin"], F.when(10 * (a["seen"] + x["n"]) >= F.col("rows") * tenths, x["bin"])).alias("bin")),
         )
         return step["bin"]
 
-    each = listed.select(*by, "measure", "rows", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for name, m in MEASURES.items() for x in (name, m[3])))[F.col("measure")]
-    room = REACH * (F.col("q3") - F.col("q1")) + slack
-    limit = F.struct((F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
-    return each.groupBy(*by).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("measure", limit))).alias("limits"))
+    each = listed.select(*by, "measure", "rows", *(decile(k).alias(f"d{k}") for k in (1, 5, 9)))
+    return each.select(*by, "measure", "rows", (F.col("d1") - REACH * (F.col("d5") - F.col("d1"))).alias("low"), (F.col("d9") + REACH * (F.col("d9") - F.col("d5"))).alias("high"))
+
+
+def limits(sketches: DataFrame) -> DataFrame:
+    """(lang, source, limits map<measure, struct<low double, high double>>) of sketches by language and source."""
+
+    def leaning(own: DataFrame, on: DataFrame, *keys: str) -> DataFrame:
+        """The limits of own drawn towards those of on, which it shares keys with."""
+        towards = on.select(*keys, F.col("low").alias("to_low"), F.col("high").alias("to_high"))
+        mean = lambda x: (F.col("rows") * F.col(x) + F.lit(float(PRIOR_ROWS)) * F.col(f"to_{x}")) / (F.col("rows") + F.lit(float(PRIOR_ROWS)))
+        return own.join(towards, list(keys)).withColumns({x: mean(x) for x in ("low", "high")}).select(own.columns)
+
+    languages = merge(sketches, "lang")
+    by_lang = leaning(thresholds(languages, "lang"), thresholds(merge(languages)), "measure")
+    by_source = leaning(thresholds(sketches, "lang", "source"), by_lang, "lang", "measure")
+    return by_source.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("limits"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"), F.col(text_col).alias("text"))
     measured = materialize(measures(plain), "measures")
-    sketches = materialize(sketch(measured, "lang", "source"), "sketches")
-    own = thresholds(sketches, "lang", "source").select("lang", "source", "rows", F.col("limits").alias("own"))
-    shared = thresholds(merge(sketches, "lang"), "lang").select("lang", F.col("limits").alias("shared"))
-    limits = own.join(shared, "lang").select("lang", "source", F.when(F.col("rows") >= FEWEST, F.col("own")).otherwise(F.col("shared")).alias("limits"))
-    limits = materialize(limits, "limits")
-    judged = measured.join(limits, ["lang", "source"], "left")
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    sketches = materialize(sketch(measured.where(~base_failed()), "lang", "source"), "sketches")
+    judged = measured.join(materialize(limits(sketches), "limits"), ["lang", "source"], "left")
     beyond = F.lit(False)
-    for name, x in _bins().items():
+    for name, x in _values().items():
         limit = F.col("limits")[name]
-        out = (x > limit["high"]) | (x < limit["low"]) if MEASURES[name][4] else x > limit["high"]
+        out = (x > limit["high"]) | (x < limit["low"]) if MEASURES[name][2] is None else _sure(name) > limit["high"]
         beyond = beyond | F.coalesce(out, F.lit(False))
     return judged.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~beyond).alias("kept")
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept")
     )

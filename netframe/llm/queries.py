@@ -54,33 +54,35 @@ WITH w AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0
                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 g AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
-c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN r USING (doc_id, k)) GROUP BY doc_id),
+z AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN r USING (doc_id, k)) GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS dup FROM
       (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
 m AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(lines, 0) AS n_lines
-      FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
-x AS (SELECT doc_id, lang, source, unnest([1, 2, 3, 4]) AS measure, unnest([
-        floor(1000 * n_symbols / nullif(word_chars, 0)), floor(1000 * n_dup_lines / nullif(n_lines, 0)),
-        floor(1000 * n_repeat_words / nullif(n_words, 0)), floor(20 * word_chars / nullif(n_words, 0))]) AS v FROM m),
-b AS (SELECT doc_id, lang, source, measure, CAST(least(1000, v) AS INTEGER) AS bin FROM x WHERE v IS NOT NULL),
-s AS (SELECT lang, source, measure, bin, count(*) AS n FROM b GROUP BY ALL),
-sc AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
-sq AS (SELECT lang, source, measure, max(total) AS total, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM sc GROUP BY ALL),
-t AS (SELECT lang, measure, bin, sum(n) AS n FROM s GROUP BY ALL),
-tc AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, measure) AS total FROM t),
-tq AS (SELECT lang, measure, min(bin) FILTER (WHERE seen >= total * 0.25) AS q1, min(bin) FILTER (WHERE seen >= total * 0.75) AS q3 FROM tc GROUP BY ALL),
-big AS (SELECT lang, source, max(total) AS n_rows FROM sq GROUP BY ALL),
-q AS (SELECT lang, source, measure, CASE WHEN n_rows >= 200 THEN sq.q1 ELSE tq.q1 END AS q1, CASE WHEN n_rows >= 200 THEN sq.q3 ELSE tq.q3 END AS q3,
-             list_extract([30, 350, 150, 10], measure) AS slack FROM sq JOIN big USING (lang, source) JOIN tq USING (lang, measure)),
-bad AS (SELECT DISTINCT doc_id FROM b JOIN q USING (lang, source, measure)
-        WHERE bin > q3 + 3 * (q3 - q1) + slack OR (measure = 4 AND bin < q1 - 3 * (q3 - q1) - slack))
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.doc_id IS NULL AS kept
-FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
+      FROM w LEFT JOIN z ON w.doc_id = z.doc_id LEFT JOIN l ON w.doc_id = l.doc_id),
+y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+x AS (SELECT doc_id, lang, source, base_failed, unnest([1, 2, 3, 4]) AS measure, unnest([n_symbols, n_dup_lines, n_repeat_words, word_chars]) AS a,
+             unnest([word_chars, n_lines, n_words, n_words]) AS b, unnest([1, 1, 5, 0]) AS unit FROM y),
+v AS (SELECT *, CAST(floor(CAST(1000000 * a AS DOUBLE) / b) AS BIGINT) AS value,
+             CASE WHEN unit > 0 THEN floor(1e6 * (unit * (CAST(a AS DOUBLE) / unit - 2 * sqrt(CAST(a AS DOUBLE) / unit))) / b) ELSE floor(CAST(1000000 * a AS DOUBLE) / b) END AS sure
+      FROM x WHERE b > 0),
+c AS (SELECT *, greatest(0, length(bin(value)) - 7) AS cut FROM v WHERE NOT base_failed),
+s AS (SELECT lang, source, measure, (value >> CAST(cut AS BIGINT)) << CAST(cut AS BIGINT) AS bin, count(*) AS n FROM c GROUP BY ALL),
+k AS (SELECT 0 AS level, lang, source, measure, bin, n FROM s UNION ALL SELECT 1, lang, NULL, measure, bin, sum(n) FROM s GROUP BY ALL
+      UNION ALL SELECT 2, NULL, NULL, measure, bin, sum(n) FROM s GROUP BY ALL),
+kc AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM k),
+d AS (SELECT level, lang, source, measure, CAST(max(total) AS DOUBLE) AS n_rows, min(bin) FILTER (WHERE 10 * seen >= total) AS d1,
+             min(bin) FILTER (WHERE 10 * seen >= 5 * total) AS d5, min(bin) FILTER (WHERE 10 * seen >= 9 * total) AS d9 FROM kc GROUP BY ALL),
+t AS (SELECT level, lang, source, measure, n_rows, d1 - 3 * (d5 - d1) AS low, d9 + 3 * (d9 - d5) AS high FROM d),
+u AS (SELECT l.lang, l.measure, (l.n_rows * l.low + 100e0 * e.low) / (l.n_rows + 100e0) AS low, (l.n_rows * l.high + 100e0 * e.high) / (l.n_rows + 100e0) AS high
+      FROM t l JOIN t e ON l.measure = e.measure AND l.level = 1 AND e.level = 2),
+q AS (SELECT o.lang, o.source, o.measure, (o.n_rows * o.low + 100e0 * u.low) / (o.n_rows + 100e0) AS low, (o.n_rows * o.high + 100e0 * u.high) / (o.n_rows + 100e0) AS high
+      FROM t o JOIN u ON o.lang = u.lang AND o.measure = u.measure AND o.level = 0),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN q USING (lang, source, measure) WHERE sure > high OR (measure = 4 AND sure < low))
+SELECT y.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM y LEFT JOIN bad ON y.doc_id = bad.doc_id
 """
 
 

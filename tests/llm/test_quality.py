@@ -45,3 +45,39 @@ def test_sketches_merge(spark, docs):
 
 def test_empty(empty):
     assert quality.judge(empty).count() == 0
+
+
+def test_sources_of_different_level_get_different_limits(spark):
+    """Every measure's limit follows the source; none is a constant."""
+    rows = []
+    for k in range(1200):
+        loud = k % 2
+        words = [f"w{(k * 31 + j * 7) % 997}x{j}" + "y" * (2 * loud) for j in range(60)]
+        if loud:
+            words[k % 7] += "#" * (1 + k % 11)
+        lines = [" ".join(words[j : j + 10]) for j in range(0, 60, 10)]
+        if loud:
+            lines += ["a b c"] * (1 + k % 4)
+            lines.append(" ".join(words[: 5 + k % 5]))
+        rows.append((k, "\n".join(lines), "en", "loud" if loud else "calm"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality.measures(df)
+    got = {r["source"]: r["limits"] for r in quality.limits(quality.sketch(measured.where(~quality.base_failed()), "lang", "source")).collect()}
+    for name in quality.MEASURES:
+        assert got["loud"][name]["high"] > 1.2 * got["calm"][name]["high"] > -1, name
+    assert got["loud"]["word_length"]["low"] > got["calm"]["word_length"]["low"]
+
+
+def test_quantiles_are_right_to_one_part_in_64_at_any_size(spark):
+    values = [3**k % 10**9 for k in range(60)] + [0, 1, 127, 128, 10**12]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for v, b in df.select("v", quality._bin(F.col("v"))).collect():
+        assert b <= v and v - b <= v / 64 and (b == v or v > 127)
+
+
+def test_a_small_source_leans_on_its_language(spark):
+    rows = [(k, " ".join(f"w{(k * 31 + j * 7) % 997}x{j}" for j in range(60)) + " #" * (k % 9), "en", "large") for k in range(600)]
+    rows += [(1000 + k, rows[9 * k][1], "en", "small") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["source"]: r["limits"]["symbol_share"]["high"] for r in quality.limits(quality.sketch(quality.measures(df), "lang", "source")).collect()}
+    assert 0.9 * got["large"] < got["small"] < got["large"]
