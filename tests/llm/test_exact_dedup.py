@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from netframe.llm import exact_dedup
+from netframe.llm.common import fresh_dir
 
 
 def norm(t):
@@ -51,3 +52,23 @@ def test_keep_one(docs, rows, empty):
 def test_parquet_of_one_file(spark, docs, rows, tmp_path):
     docs.coalesce(1).write.parquet(f"file://{tmp_path}/d")
     check(exact_dedup.exact_groups(spark.read.parquet(f"file://{tmp_path}/d")).withColumn("digest_ok", F.lit(True)).collect(), rows)
+
+
+def test_a_second_call_meets_the_state_of_the_first(spark, docs, rows):
+    first, second = rows[::2], rows[1::2]
+    frame = lambda part: spark.createDataFrame([(i, t) for i, t, *_ in part], "doc_id long, text string")
+    for weak in (exact_dedup.sha256, lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)):
+        state = fresh_dir(spark, "state")
+        check(exact_dedup.exact_groups(frame(first), digest=weak, state=state).withColumn("digest_ok", F.lit(True)).collect(), first)
+        out = exact_dedup.exact_groups(frame(second), digest=weak, state=state).collect()
+        by = want(rows)
+        assert Counter((r["id"], r["keep_id"], r["group_size"]) for r in out) == Counter((i, min(by[norm(t)])[3], len(by[norm(t)])) for i, t, *_ in second)
+        assert sum(r["group_size"] > 1 for r in out) > 5
+        third = exact_dedup.keep_one(frame(first), state=state)
+        assert third.columns == ["doc_id", "text"]
+
+
+def test_keep_one_with_clashing_names(docs, rows):
+    wide = docs.withColumns({c: F.lit(c) for c in ("nf_gone", "locator", "digest", "call", "bytes", "first")})
+    out = exact_dedup.keep_one(wide)
+    assert out.columns == wide.columns and out.count() == len(want(rows))
