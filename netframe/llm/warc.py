@@ -8,9 +8,10 @@ each record; ours say their own length in the member's extra field "sl", so that
 only the header's first bytes are inflated and the rest is skipped by a seek.  Members without it are
 inflated through, but what is unwanted is neither kept nor decoded.
 
-Writing: each task writes files of about `file_bytes` below _temporary; the driver renames
-those of the attempts that count, so a repeated task leaves nothing behind.  Files are opened
-through pyarrow's file systems.
+Writing: each task writes files of about `file_bytes` below a folder of this write in _temporary; the driver
+renames those of the attempts that count, COMMITTERS at a time, so a repeated task leaves nothing behind and
+two writes to one folder leave each other alone.  Files are opened through pyarrow's file systems.
+An archive from elsewhere is read by one task, whatever its size.
 
 Rows: record_id, record_type, target_uri, refers_to, payload_digest (strings), payload_bytes long,
 payload binary.  A response's block is an HTTP message, whose body is the payload; a revisit
@@ -18,7 +19,9 @@ has no payload and says the length and digest of what it stands for in its heade
 digest come from the header where it has them.
 
 Cases: an empty payload is stored as such; a null URI is written as about:blank; line ends and other
-control characters of a URI are percent-encoded; a folder without archives has no rows.
+control characters of a URI are percent-encoded; a folder without archives has no rows; a very long payload
+is held in memory once by its task; repeated rows become records of one id and are all responses;
+extra columns of pages, whatever their names, are not read; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import io
 import struct
 import uuid
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
@@ -68,6 +72,7 @@ class _Written(WriterCommitMessage):
 
 
 HEAD_BYTES = 1 << 14
+COMMITTERS = 32
 
 
 def pack_member(data: bytes, level: int = 4) -> bytes:
@@ -85,10 +90,11 @@ class WarcWriter(DataSourceArrowWriter):
         self.file_bytes = int(options.get("file_bytes", 64 << 20))
         self.date = options.get("date", "2000-01-01T00:00:00Z")
         self.overwrite = overwrite
+        self.own = f"_temporary/{uuid.uuid4().hex}"
 
     def write(self, iterator):
         store, root = fs.FileSystem.from_uri(self.uri)
-        store.create_dir(f"{root}/_temporary", recursive=True)
+        store.create_dir(f"{root}/{self.own}", recursive=True)
         done, out, size = _Written(), None, 0
         for batch in iterator:
             for k in range(batch.num_rows):
@@ -97,7 +103,7 @@ class WarcWriter(DataSourceArrowWriter):
                     data = pack_member(data)
                 if out is None:
                     done.files.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                    out, size = store.open_output_stream(f"{root}/_temporary/{done.files[-1]}", compression=None), 0
+                    out, size = store.open_output_stream(f"{root}/{self.own}/{done.files[-1]}", compression=None), 0
                 out.write(data)
                 size += len(data)
                 if size >= self.file_bytes:
@@ -114,14 +120,17 @@ class WarcWriter(DataSourceArrowWriter):
             for old in store.get_file_info(fs.FileSelector(root)):
                 if old.base_name.endswith((".warc", ".warc.gz")):
                     store.delete_file(old.path)
-        for m in messages:
-            for name in m.files if m else []:
-                store.move(f"{root}/_temporary/{name}", f"{root}/{name}")
+        names = [name for m in messages if m for name in m.files]
+        with ThreadPoolExecutor(COMMITTERS) as pool:
+            list(pool.map(lambda name: store.move(f"{root}/{self.own}/{name}", f"{root}/{name}"), names))
         self.abort(messages)
 
     def abort(self, messages):
         store, root = fs.FileSystem.from_uri(self.uri)
-        if store.get_file_info(f"{root}/_temporary").type != fs.FileType.NotFound:
+        if store.get_file_info(f"{root}/{self.own}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/{self.own}")
+        others = store.get_file_info(fs.FileSelector(f"{root}/_temporary", allow_not_found=True))
+        if not others and store.get_file_info(f"{root}/_temporary").type != fs.FileType.NotFound:
             store.delete_dir(f"{root}/_temporary")
 
 
