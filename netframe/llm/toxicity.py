@@ -9,8 +9,8 @@ unlabelled U, of which the class prior's share is toxic.  With class prior p and
 backwards.  f is linear over the hashed words and word beginnings (of PREFIXES bytes) that a text has, A-Z lowered
 and edge punctuation off; inflected forms share their beginnings.  Only features are kept whose share
 among P differs from that among U by more than Z standard errors and is LEAST_SHARE at least in one, so that chance words of few
-texts carry no weight.  Training is mini-batch Adam in numpy on the driver; scoring is one pass of
-a map over whole texts.
+texts carry no weight.  Training is Adam in numpy on the driver, over batches of BATCH unlabelled texts (with the
+default bounds all are one batch); scoring is one pass of a map over whole texts.
 
 The fit reads a bounded sample: at most POSITIVES confirmed texts and UNLABELLED of all, those with the
 least hash of their id among the rows that may be learnt from; the bounds are parameters.
@@ -21,7 +21,8 @@ inputs of a score.
 
 Cases: null and empty texts score as a text without words; without any positive (or any other) row
 to learn from every score is the prior or 0; repeated labels of one id count as toxic if one
-of them does; repeated rows are scored alike; extra columns are not read.
+of them does; repeated rows are scored alike; a very long text is scored whole, in one row; an empty table has an
+empty result; extra columns are not read, or pass through drop_toxic, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,6 +77,24 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
+def nn_risk(f_positive: np.ndarray, f_unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(prior * mean_P l(f), mean_U l(-f) - prior * mean_P l(-f), slopes) with the logistic loss l.
+
+    The risk is the first plus the second or 0.  The slopes, for each f of P and then of U, are those of the risk, or of
+    the second part taken backwards where it is below 0.
+    """
+    n_p, n_u = len(f_positive), len(f_unlabelled)
+    # l(z) = log(1 + exp(-z)): the slope of l(f) is s - 1, of l(-f) it is s
+    s_p, s_u = _sigmoid(f_positive), _sigmoid(f_unlabelled)
+    as_positive = prior * float(np.logaddexp(0, -f_positive).mean())
+    as_negative = float(np.logaddexp(0, f_unlabelled).mean()) - prior * float(np.logaddexp(0, f_positive).mean())
+    if as_negative >= 0:
+        slopes = np.concatenate([prior * (s_p - 1) / n_p - prior * s_p / n_p, s_u / n_u])
+    else:
+        slopes = np.concatenate([prior * s_p / n_p, -s_u / n_u])
+    return as_positive, as_negative, slopes
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = EPOCHS, seed: int = 0, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Minimise the non-negative risk with the logistic loss."""
     size = 1 << bits
@@ -108,16 +127,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             flat, owner = rows([positive[i] for i in p_part] + [unlabelled[i] for i in u_part])
             n_p, n_u = len(p_part), len(u_part)
             f = np.bincount(owner, w[flat], n_p + n_u) + b
-            s = _sigmoid(f)
-            # l(z) = log(1 + exp(-z)): slope of l(f) is s - 1, of l(-f) is s
-            negative = np.logaddexp(0, f[n_p:]).mean() - prior * np.logaddexp(0, f[:n_p]).mean()
-            g = np.zeros(n_p + n_u)
-            if negative >= 0:
-                g[:n_p] = prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p
-                g[n_p:] = s[n_p:] / n_u
-            else:
-                g[:n_p] = prior * s[:n_p] / n_p
-                g[n_p:] = -s[n_p:] / n_u
+            _, _, g = nn_risk(f[:n_p], f[n_p:], prior)
             grad = np.bincount(flat, g[owner], many) + decay * w
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad

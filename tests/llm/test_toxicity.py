@@ -47,7 +47,45 @@ def test_held_out_labels_do_not_matter(spark):
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
 
 
-def test_risk_stays_non_negative_and_ends_in_odd_cases(spark, docs, empty):
+def slow_risk(f_p, f_u, prior):
+    loss = lambda z: np.log1p(np.exp(-z))
+    return prior * sum(map(loss, f_p)) / len(f_p), sum(loss(-z) for z in f_u) / len(f_u) - prior * sum(loss(-z) for z in f_p) / len(f_p)
+
+
+def test_risk_and_its_slopes_against_brute_force():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for prior, shift in ((0.1, 0), (0.3, 2), (0.6, 3), (0.05, -2), (0.8, 4)):
+        f_p, f_u = rng.normal(shift, 2, 13), rng.normal(-1, 2, 29)
+        first, second, slopes = toxicity.nn_risk(f_p, f_u, prior)
+        assert np.allclose((first, second), slow_risk(f_p, f_u, prior))
+        seen.add(second >= 0)
+        step = 1e-6
+        for k in range(42):
+            up, down = (np.concatenate([f_p, f_u]) for _ in "ab")
+            up[k] += step
+            down[k] -= step
+            (a1, a2), (b1, b2) = slow_risk(up[:13], up[13:], prior), slow_risk(down[:13], down[13:], prior)
+            want = (a1 + a2 - b1 - b2) if second >= 0 else -(a2 - b2)
+            assert abs(slopes[k] - want / (2 * step)) < 1e-6
+    assert seen == {True, False}
+
+
+def test_training_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(5)
+    positive = [np.unique(np.append(rng.integers(0, 200, 20), 300 + rng.integers(0, 3))).astype(np.int32) for _ in range(300)]
+    unlabelled = [np.unique(rng.integers(0, 200, 20)).astype(np.int32) for _ in range(900)] + positive[:90]
+
+    def risk(model):
+        f_p, f_u = (model.logits(np.concatenate(x), np.cumsum([len(t) for t in x])) for x in (positive, unlabelled))
+        first, second, _ = toxicity.nn_risk(f_p, f_u, 0.1)
+        return first + max(0.0, second)
+
+    before, after = risk(toxicity.fit(positive, unlabelled, 0.1, bits=9, epochs=0)), risk(toxicity.fit(positive, unlabelled, 0.1, bits=9))
+    assert 0 <= after < 0.5 * before
+
+
+def test_ends_in_odd_cases(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.toxicity(docs, none).collect()} == {0}
     odd = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
