@@ -49,7 +49,9 @@ def tidy(spark: SparkSession) -> None:
     """Between the rounds of a loop: shuffle files and broadcasts of finished jobs are removed only once the
     driver's collector finds them unused, so ask it to look."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)  # none where the driver is elsewhere
+    if jvm is not None:
+        jvm.System.gc()
     trim()
 
 

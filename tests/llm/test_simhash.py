@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from netframe.llm import simhash
+from netframe.llm import exact_dedup, simhash
 from netframe.llm.graph_components import components
 
 
@@ -138,6 +139,45 @@ def test_default_call_finds_short_and_shortened_copies(spark):
     assert len(want) > 100 and got == want
 
 
+def brute(rows, similarity=0.8):
+    """Ids with a similar smaller id; every pair of texts that share a shingle is compared."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, holders, out = {i: shingles(t) for i, t in rows}, {}, set()
+    for i in sorted(sets):
+        shared = Counter(j for g in sets[i] for j in holders.get(g, ()))
+        if any(n >= similarity * (len(sets[i]) + len(sets[j]) - n) for j, n in shared.items()):
+            out.add(i)
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    return out
+
+
+def test_stage_against_brute_force_after_exact_dedup(spark):
+    docs = exact_dedup.keep_one(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    left = {r[0] for r in simhash.drop_near_copies(docs).select("doc_id").collect()}
+    want = brute(rows)
+    assert want and {i for i, _ in rows} - left == want
+
+
+def test_a_family_whose_members_are_just_similar(spark):
+    """600 texts with four changed words in 200: pairs lie about the least similarity."""
+    r = random.Random(14)
+    base = [f"b{j}" for j in range(200)]
+    texts = []
+    for k in range(600):
+        w = list(base)
+        for j in r.sample(range(200), 4):
+            w[j] = f"x{r.randrange(40)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = set(range(600)) - {x[0] for x in simhash.drop_near_copies(docs).select("doc_id").collect()}
+    assert gone == brute(list(enumerate(texts))) and len(gone) > 10
+
+
 def test_copies_that_share_a_fingerprint_with_unlike_rows(spark):
     r = random.Random(12)
     words = [f"c{j}" for j in range(60)]
