@@ -15,6 +15,11 @@ def safe_div(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(other))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sum_array(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -33,7 +38,12 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column, floor: float = 1e-10) -> Column:
     """Row scaled to length 1; norms below the floor count as the floor."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(floor)))
+    return let(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x / n))
+
+
+def shares(a: Column) -> Column:
+    """Array divided by its sum."""
+    return let(a, lambda whole: let(sum_array(whole), lambda s: F.transform(whole, lambda x: x / s)))
 
 
 def relu(x) -> Column:
@@ -54,13 +64,13 @@ def tanh(x) -> Column:
 
 def softmax(a) -> Column:
     """Of an array, shifted by its maximum."""
-    top = F.array_max(col(a))
-    return F.transform(col(a), lambda x: F.exp(x - top) / sum_array(F.transform(col(a), lambda y: F.exp(y - top))))
+    return let(F.array_max(col(a)), lambda top: shares(F.transform(col(a), lambda x: F.exp(x - top))))
 
 
 def log_softmax(a) -> Column:
-    top = F.array_max(col(a))
-    return F.transform(col(a), lambda x: x - top - F.log(sum_array(F.transform(col(a), lambda y: F.exp(y - top)))))
+    """Of an array: x less the logarithm of the sum of exponentials."""
+    spread = lambda top: top + F.log(sum_array(F.transform(col(a), lambda x: F.exp(x - top))))
+    return let(let(F.array_max(col(a)), spread), lambda z: F.transform(col(a), lambda x: x - z))
 
 
 def cross_entropy_loss(logits, labels, one_hot: bool = False) -> Column:

@@ -11,16 +11,24 @@ from netframe.plans.storage import materialize
 from .graph import PropertyGraph, symmetrize, weight
 
 
-def pagerank(g: PropertyGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6) -> tuple[DataFrame, int]:
+def pagerank(g: PropertyGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, stop: str = "total") -> tuple[DataFrame, int]:
     """((id, score), iterations): scores sum to 1; dangling mass is spread evenly.
 
-    Stops when the scores' L1 change is at most n * tolerance; if n * tolerance is 1 or more there
-    is no iteration.  An iteration is one join with the normalised edges, one group-by, and one
+    stop says when the scores' L1 change is small enough:
+        total       at most tolerance, whatever the number n of vertices (default)
+        per_vertex  at most n * tolerance; looked at before the first iteration too, where the change counts
+                    as 1: with a million vertices and the default tolerance there is no iteration
+        after       below n * tolerance, after an iteration
+
+    An iteration is one join with the normalised edges, one group-by, and one
     aggregate that watches the change and the dangling mass of the next one.
     """
     n = g.vertices.count()
     start = g.vertices.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
-    if n == 0 or n * tolerance >= 1 or max_iterations == 0:
+    small = {"total": lambda x: x <= tolerance, "per_vertex": lambda x: x <= n * tolerance, "after": lambda x: x < n * tolerance}.get(stop)
+    if small is None:
+        raise ValueError(stop)
+    if n == 0 or max_iterations == 0 or (stop == "per_vertex" and small(1.0)):
         return start, 0
     out = g.edges.groupBy("src").agg(F.sum(weight()).alias("total"))
     # loop invariants: w / out-weight by edge, and which vertices dangle
@@ -42,7 +50,7 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, max_iterations: int = 100,
     def watch():
         return [F.sum("score").alias("total"), F.sum(F.when(F.col("dangling"), F.col("score"))).alias("loose"), F.sum(F.abs(F.col("score") - F.col("before"))).alias("change")]
 
-    state, seen, made = iterate(state, step, watch, lambda s, k: s["change"] <= n * tolerance, max_iterations)
+    state, seen, made = iterate(state, step, watch, lambda s, k: small(s["change"]), max_iterations)
     return state.select("id", (F.col("score") / seen["total"]).alias("score")), made
 
 
@@ -107,11 +115,58 @@ def eigenvector_centrality(g: PropertyGraph, rounds: int = 50, tolerance: float
     return state.select("id", (F.col("score") / seen["size"]).alias("score"))
 
 
-def node_features(g: PropertyGraph) -> DataFrame:
-    """(id, features): degree, clustering coefficient, degree, eigenvector centrality, z-scored by column."""
+def betweenness(g: PropertyGraph, sources: DataFrame | None = None, normalized: bool = True) -> DataFrame:
+    """(id, score): shares of shortest paths (in edges) between others that a vertex of the undirected simple graph is on.
+
+    All sources advance together, a level of neighbours a round, and what depends on a vertex is added up from
+    the farthest level back, so there are as many rounds as the graph is wide.  With every vertex as a source (the
+    default) the work and the tables are n * m by their nature; `sources` (id) restricts the sum to paths from
+    those, scaled up to all.
+    """
+    pairs = _simple(g)
+    e = materialize(symmetrize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("pos"))).select("src", "dst"), "both")
+    n = g.vertices.count()
+    start = (g.vertices if sources is None else sources).select(F.col("id").alias("s")).distinct()
+    begun = start.count()
+    levels = [materialize(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        out = levels[-1].join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        # what was met before is on the last two levels
+        for seen in levels[-2:]:
+            out = out.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        out = materialize(out, "level")
+        if out.isEmpty():
+            break
+        levels.append(out)
+    gained, later = None, levels[-1].withColumn("rests", F.lit(0.0))
+    for k in range(len(levels) - 1, 0, -1):
+        gained = later if gained is None else gained.unionByName(later)
+        back = later.select("s", F.col("v").alias("src"), ((1 + F.col("rests")) / F.col("paths")).alias("part")).join(e, "src")
+        sums = back.groupBy("s", F.col("dst").alias("v")).agg(F.sum("part").alias("part"))
+        here = levels[k - 1].join(sums, ["s", "v"], "left")
+        later = materialize(here.select("s", "v", "paths", F.coalesce(F.col("paths") * F.col("part"), F.lit(0.0)).alias("rests")), "level")
+    ids = g.vertices.select("id")
+    if gained is None:
+        return ids.select("id", F.lit(0.0).alias("score"))
+    by = max(1, (n - 1) * (n - 2)) if normalized else 2
+    total = gained.groupBy(F.col("v").alias("id")).agg((F.sum("rests") * (n / begun) / by).alias("score"))
+    return ids.join(total, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+#: Vertices up to which node_features takes the betweenness itself.
+SMALL = 100
+
+
+def node_features(g: PropertyGraph, small: int = SMALL) -> DataFrame:
+    """(id, features): degree, clustering coefficient, betweenness, eigenvector centrality, z-scored by column.
+
+    Beyond `small` vertices the degree stands in for the betweenness, whose work grows with n * m.
+    """
     deg = _simple(g).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("k"))
     j = g.vertices.select("id").join(deg, "id", "left").join(clustering_coefficients(g).select("id", "coefficient"), "id").join(eigenvector_centrality(g), "id")
-    raw = materialize(j.select("id", F.coalesce("k", F.lit(0.0)).alias("k"), "coefficient", "score"), "features")
-    cols = ["k", "coefficient", "k", "score"]
+    j = j.select("id", F.coalesce("k", F.lit(0.0)).alias("k"), "coefficient", "score")
+    between = betweenness(g).select("id", F.col("score").alias("between")) if g.vertices.count() <= small else j.select("id", F.col("k").alias("between"))
+    raw = materialize(j.join(between, "id"), "features")
+    cols = ["k", "coefficient", "between", "score"]
     s = raw.agg(*(F.avg(c).alias(f"m_{c}") for c in set(cols)), *(F.stddev_pop(c).alias(f"s_{c}") for c in set(cols))).first()
     return raw.select("id", F.array(*((F.col(c) - (s[f"m_{c}"] or 0.0)) / ((s[f"s_{c}"] or 0.0) + 1e-8) for c in cols)).alias("features"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netframe.plans.storage import materialize
+
 from .graph import PropertyGraph
 
 PARAMS = ("s12", "s23", "s13", "alpha12", "alpha23", "p", "d")
@@ -26,6 +28,78 @@ def min_cut(g: PropertyGraph, masks: DataFrame, source: str, sink: str, capacity
     return e.agg(F.coalesce(F.sum(F.when(F.col(f"s_{source}") & F.col(f"t_{sink}"), F.col("cap"))), F.lit(0.0)).alias("cut"))
 
 
+def max_flow(g: PropertyGraph, masks: DataFrame, source: str, sink: str, capacity: Column | None = None, directed: bool = True, max_rounds: int = 10_000) -> float:
+    """The largest flow from the source set to the sink set, which is the capacity of a minimum cut between them.
+
+    Push and relabel with all vertices at once: in a round every vertex with excess pushes it down its admissible
+    edges in the order of their ends, and one that has excess left but no such edge is lifted.  Heights start, and are
+    set again every REHEIGHT rounds, as distances to the sinks in the residual graph, found by levels; what
+    cannot reach a sink any more takes no part.  A round is two joins over the residual edges; nothing is collected
+    but counts.  Sets that share a vertex raise ValueError; capacities must not be negative; absent ones are 1.
+    """
+    w = (F.coalesce(F.col("weight"), F.lit(1.0)) if capacity is None else capacity).cast("double")
+    m = masks.select("id", F.coalesce(source, F.lit(False)).alias("s"), F.coalesce(sink, F.lit(False)).alias("t"))
+    if not m.where("s and t").isEmpty():
+        raise ValueError("a vertex is source and sink")
+    if m.where("s").isEmpty() or m.where("t").isEmpty():
+        return 0.0
+    ends = materialize(m.where("s or t"), "ends")
+    e = g.edges.where("src <> dst").select("src", "dst", w.alias("r"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("r") if directed else F.col("r"))
+    e = e.unionByName(back).groupBy("src", "dst").agg(F.sum("r").alias("r"))
+    sources, sinks = ends.where("s").select("id"), ends.where("t").select("id")
+    # edges into sources and out of sinks carry nothing that counts
+    e = e.join(sources.withColumnRenamed("id", "dst"), "dst", "left_anti").join(sinks.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "r")
+    first = e.join(sources.withColumnRenamed("id", "src"), "src", "left_semi")
+    excess = materialize(first.groupBy(F.col("dst").alias("id")).agg(F.sum("r").alias("x")), "excess")
+    e = materialize(e.join(sources.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "r"), "residual")
+
+    def heights(e: DataFrame) -> DataFrame:
+        level = seen = sinks.select("id", F.lit(0).cast("long").alias("h"))
+        open_edges = e.where("r > 1e-12").select("src", F.col("dst").alias("id"))
+        k = 0
+        while True:
+            k += 1
+            level = materialize(open_edges.join(level.select("id"), "id").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(k).cast("long").alias("h")), "heights")
+            if level.isEmpty():
+                return seen
+            seen = materialize(seen.unionByName(level), "heights")
+
+    h = None
+    for k in range(max_rounds):
+        if k % REHEIGHT == 0:
+            h = heights(e)
+        active = excess.where("x > 1e-12").join(h, "id").join(sinks, "id", "left_anti").select("id", "x", "h")
+        active = materialize(active, "active")
+        if active.isEmpty():
+            if k % REHEIGHT == 0:
+                break
+            h = heights(e)
+            if excess.where("x > 1e-12").join(h, "id").join(sinks, "id", "left_anti").isEmpty():
+                break
+            continue
+        down = e.where("r > 1e-12").join(active.select(F.col("id").alias("src"), "x", "h"), "src").join(h.select(F.col("id").alias("dst"), F.col("h").alias("hd")), "dst").where("h = hd + 1")
+        before = F.coalesce(F.sum("r").over(Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        pushed = materialize(down.withColumn("p", F.least("r", F.col("x") - before)).where("p > 0").select("src", "dst", "p"), "pushed")
+        moved = pushed.select("src", "dst", (-F.col("p")).alias("r")).unionByName(pushed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("p").alias("r")))
+        moved = moved.join(sinks.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "r")
+        e = materialize(e.unionByName(moved).groupBy("src", "dst").agg(F.sum("r").alias("r")), "residual")
+        change = pushed.select(F.col("src").alias("id"), (-F.col("p")).alias("x")).unionByName(pushed.select(F.col("dst").alias("id"), F.col("p").alias("x")))
+        excess = materialize(excess.unionByName(change).groupBy("id").agg(F.sum("x").alias("x")), "excess")
+        left = active.select("id", "h").join(excess.where("x > 1e-12").select("id"), "id", "left_semi")
+        way = e.where("r > 1e-12").join(left.select(F.col("id").alias("src")), "src").join(h.select(F.col("id").alias("dst"), F.col("h").alias("hd")), "dst")
+        lifted = way.groupBy(F.col("src").alias("id")).agg((F.min("hd") + 1).alias("to"))
+        h = materialize(h.join(lifted, "id", "left").select("id", F.greatest("h", F.coalesce("to", "h")).alias("h")), "heights")
+    else:
+        raise RuntimeError("the flow did not settle")
+    total = excess.join(sinks, "id").agg(F.sum("x")).first()[0]
+    return float(total or 0.0)
+
+
+#: Rounds of push and relabel between two searches for the heights.
+REHEIGHT = 8
+
+
 def _matrix_cut(a: str, b: str, doubled: bool) -> Column:
     """Aggregate: direct capacity both ways, and through vertices in neither set the smaller of both sides."""
     sa, sb, ta, tb = (F.col(x) for x in (f"s_{a}", f"s_{b}", f"t_{a}", f"t_{b}"))
@@ -182,13 +256,13 @@ def threshold_counts(sweep: DataFrame) -> DataFrame:
 RATIOS = {"alpha12": ("alpha12", None), "alpha23": ("alpha23", None), "s12/s13": ("s12", "s13"), "s23/s13": ("s23", "s13"), "s12/s23": ("s12", "s23")}
 
 
-def vulnerability(sweep: DataFrame) -> DataFrame:
-    """One row: stable demand p / d, mean level under 1, the largest ratio's name, the highest critical level (percent), and the grade.
+def vulnerability(sweep: DataFrame, *keys: str) -> DataFrame:
+    """A row for each key (one without any): stable demand p / d, mean level under 1, the largest ratio's name, the highest critical level (percent), and the grade.
 
     High if production of more than 50 % is already critical, Medium from 20 %, else Low.
     """
     ratio = F.array(*(F.struct(F.coalesce(F.try_divide(F.col(a), F.col(b)) if b else F.col(a), F.lit(0.0)).alias("x"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, (a, b)) in enumerate(RATIOS.items())))
-    out = sweep.agg(
+    out = sweep.groupBy(*keys).agg(
         F.max(F.try_divide(F.col("p"), F.col("d"))).alias("stable_demand"),
         F.avg(F.when(F.col("level") < 1, F.col("level"))).alias("mean_level"),
         F.max(F.array_max(ratio))["name"].alias("top_ratio"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netframe.functions.scalar import safe_div
@@ -14,6 +15,8 @@ from .graph import PropertyGraph
 
 #: Largest matrix whose eigensystem one task computes.
 DENSE_LIMIT = 4096
+#: An eigenvector's largest coordinate, to so many digits and of the lowest id, is positive.
+LEAD_DIGITS = 4
 
 
 def identity(vertices: DataFrame) -> DataFrame:
@@ -42,9 +45,68 @@ def matmul(a: DataFrame, b: DataFrame, times=lambda x, y: x * y, plus=F.sum) ->
     return left.join(right, "k").groupBy("i", "j").agg(plus(times(F.col("x"), F.col("y"))).alias("v"))
 
 
-def min_plus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """C_ij = min over k of A_ik + B_kj; an absent cell is infinite."""
-    return matmul(a, b, lambda x, y: x + y, F.min)
+#: Rows and columns of a block.
+BLOCK = 256
+#: Sums of one cell in a row join cost about as much as this many in a block product.
+ROW_COST = 64
+
+
+def min_plus(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """C_ij = min over k of A_ik + B_kj; an absent cell is infinite.
+
+    Sparse factors are joined row by row, dense ones multiplied block by block; the number of sums that
+    a join would make decides, and both ways give the same.
+    """
+    ks = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("x")).join(b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("y")), "k")
+    sums = ks.agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("sums"), F.count(F.lit(1)).alias("k")).first()
+    n = a.select("i").distinct().count(), sums["k"], b.select("j").distinct().count()
+    if (sums["sums"] or 0.0) * ROW_COST <= float(n[0]) * n[1] * n[2]:
+        return matmul(a, b, lambda x, y: x + y, F.min)
+    return blocked_min_plus(a, b, max(n), block)
+
+
+def blocked_min_plus(a: DataFrame, b: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+    """min_plus of tables over about n ids: a task for each block of the result, which meets a row and a column of blocks.
+
+    Each factor's cells are sent n / block times; no cell of the product is made twice.
+    """
+    parts = max(1, -(-n // block))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = a.select(part("i").alias("bi"), part("j").alias("bk"), "i", F.col("j").alias("k"), "v").groupBy("bi", "bk").agg(F.collect_list(F.struct("i", "k", "v")).alias("cells"))
+    right = b.select(part("i").alias("bk"), part("j").alias("bj"), F.col("i").alias("k"), "j", "v").groupBy("bk", "bj").agg(F.collect_list(F.struct("k", "j", "v")).alias("cells"))
+
+    def cells(column: pa.ChunkedArray) -> list[tuple[np.ndarray, ...]]:
+        lists = column.combine_chunks()
+        out = []
+        for x in range(len(lists)):
+            s = lists[x].values
+            out.append(tuple(s.field(f).to_numpy(zero_copy_only=False) for f in range(3)))
+        return out
+
+    def product(rows: pa.Table, cols: pa.Table) -> pa.Table:
+        have = dict(zip(cols.column("bk").to_pylist(), cells(cols.column("cells")))) if cols.num_rows else {}
+        pairs = [(x, have[k]) for k, x in zip(rows.column("bk").to_pylist(), cells(rows.column("cells"))) if k in have] if rows.num_rows else []
+        if not pairs:
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
+        ids_i, ids_j = np.unique(np.concatenate([x[0] for x, _ in pairs])), np.unique(np.concatenate([y[1] for _, y in pairs]))
+        best = np.full((len(ids_i), len(ids_j)), np.inf)
+        for (i, k, v), (k2, j, v2) in pairs:
+            ks = np.intersect1d(k, k2)
+            if not len(ks):
+                continue
+            x, y = np.full((len(ids_i), len(ks)), np.inf), np.full((len(ks), len(ids_j)), np.inf)
+            for out, at, on, row, col, value in ((x, k, ks, ids_i, i, v), (y, k2, ks, ids_j, j, v2)):
+                own = np.isin(at, on)
+                p, q = np.searchsorted(on, at[own]), np.searchsorted(row, col[own])
+                np.minimum.at(out, (q, p) if out is x else (p, q), value[own])
+            for p in range(len(ks)):
+                np.minimum(best, x[:, p, None] + y[p], out=best)
+        p, q = np.nonzero(np.isfinite(best))
+        return pa.table({"i": ids_i[p], "j": ids_j[q], "v": best[p, q]})
+
+    spread = left.withColumn("bj", each).groupBy("bi", "bj").cogroup(right.withColumn("bi", each).groupBy("bi", "bj"))
+    return spread.applyInArrow(product, "i long, j long, v double")
 
 
 def densify(m: DataFrame, vertices: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -106,7 +168,7 @@ def random_walk_of(a: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def eigensystem(m: DataFrame, vertices: DataFrame, k: int, dense_limit: int = DENSE_LIMIT, shift: float = 2.0, rounds: int = 200) -> tuple[list[float], DataFrame]:
-    """The k smallest eigenpairs of a symmetric matrix: (values, (id, features array)).
+    """The k smallest eigenpairs of a symmetric matrix: (values, (id, features array)); either way with the same signs.
 
     Up to dense_limit rows (a checked size) one task solves it; beyond, orthogonal iteration on
     shift * I - M runs distributed and only k * k numbers reach the driver.  shift must be at
@@ -121,7 +183,7 @@ def eigensystem(m: DataFrame, vertices: DataFrame, k: int, dense_limit: int = DE
             a = np.zeros((len(ids), len(ids)))
             np.add.at(a, (pdf["i"].map(at).to_numpy(int), pdf["j"].map(at).to_numpy(int)), pdf["v"].to_numpy())
             values, vectors = np.linalg.eigh((a + a.T) / 2)
-            lead = np.argmax(np.abs(vectors), axis=0)
+            lead = np.argmax(np.round(np.abs(vectors), LEAD_DIGITS), axis=0)
             vectors = vectors * np.sign(vectors[lead, np.arange(len(ids))])
             return pd.DataFrame({"id": ids, "features": list(vectors[:, :k]), "values": [values[:k]] * len(ids)})
 
@@ -152,7 +214,8 @@ def apply_matrix(m: DataFrame, x: DataFrame, k: int) -> DataFrame:
 
 
 def orthogonal_iteration(m: DataFrame, vertices: DataFrame, k: int, shift: float = 2.0, rounds: int = 200, tol: float = 1e-10) -> tuple[list[float], DataFrame]:
-    w = k + min(4, k)
+    w = min(k + min(4, k), vertices.count())
+    k = min(k, w)
     unit = lambda p: F.xxhash64("id", F.lit(p)).cast("double") / float(1 << 63)
     x = materialize(vertices.select("id", F.array(*(unit(p) for p in range(w))).alias("features")), "eigen")
     m = materialize(m, "eigen")
@@ -166,14 +229,7 @@ def orthogonal_iteration(m: DataFrame, vertices: DataFrame, k: int, shift: float
         if last is not None and np.abs(values[:k] - last).max() < tol:
             break
         last = values[:k]
-    out = _turn(x, turn[:, :k])
-    return list(values[:k]), out
-
-
-def as_wide(m: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, row array): dense rows in id order, for small matrices."""
-    return densify(m, vertices).groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row"))
-
-
-def frobenius(m: DataFrame) -> Column:
-    return F.sqrt(F.sum(F.col("v") * F.col("v")))
+    out = materialize(_turn(x, turn[:, :k]), "eigen")
+    lead = out.agg(*(F.max_by(F.signum(F.col("features")[p]), F.struct(F.round(F.abs(F.col("features")[p]), LEAD_DIGITS), -F.col("id"))).alias(f"s{p}") for p in range(k))).first()
+    signs = F.array(*(F.lit(float(lead[f"s{p}"] or 1.0)) for p in range(k)))
+    return list(values[:k]), out.select("id", F.zip_with("features", signs, lambda a, b: a * b).alias("features"))

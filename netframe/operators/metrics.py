@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netframe.plans.storage import materialize
-
-from .spectral import euclidean_distances
+from .spectral import distance_sums
 
 
 def contingency(true: DataFrame, pred: DataFrame) -> DataFrame:
@@ -48,9 +46,13 @@ def normalized_mutual_information(true: DataFrame, pred: DataFrame) -> DataFrame
 
 def silhouette_samples(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, s) from a distance table: (b - a) / max(a, b); 0 for a cluster of one."""
-    own = labels.select(F.col("id").alias("i"), F.col("cluster").alias("ci"))
     other = labels.select(F.col("id").alias("j"), F.col("cluster").alias("cj"))
-    sums = distances.join(other, "j").groupBy("i", "cj").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
+    return _silhouettes(distances.join(other, "j").groupBy("i", "cj").agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n")), labels)
+
+
+def _silhouettes(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, s) from the sum and number of distances of each point to each cluster: (i, cj, total, n)."""
+    own = labels.select(F.col("id").alias("i"), F.col("cluster").alias("ci"))
     per = sums.join(own, "i").groupBy("i").agg(
         F.max(F.when(F.col("ci") == F.col("cj"), F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
         F.min(F.when(F.col("ci") != F.col("cj"), F.col("total") / F.col("n"))).alias("b"),
@@ -60,8 +62,12 @@ def silhouette_samples(distances: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, silhouette, of points with Euclidean distances."""
-    return silhouette_samples(euclidean_distances(points), labels).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("silhouette"))
+    """One row, silhouette, of points with Euclidean distances.
+
+    Blocks of points hand on a sum for each point and cluster; no table of distances is made.
+    """
+    sums = distance_sums(points, labels).groupBy("i", "cj").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return _silhouettes(sums, labels).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("silhouette"))
 
 
 def within_between(similarity: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,7 +172,3 @@ def available_algorithms(spark) -> DataFrame:
         ("spectral_clustering", "hard", "k-means on eigenvectors of an affinity's Laplacian"),
     ]
     return spark.createDataFrame(rows, "name string, kind string, description string")
-
-
-def silhouette_table(points: DataFrame, labels: DataFrame) -> DataFrame:
-    return materialize(silhouette_samples(euclidean_distances(points), labels), "silhouette")

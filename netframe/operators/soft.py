@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netframe.functions.scalar import sqdist, sum_array
+from netframe.functions.scalar import let, shares, sqdist, sum_array
 from netframe.plans.storage import materialize
 
 from .kmeans import Centres, table_of
@@ -28,23 +28,39 @@ def _lit(centre: list[float]) -> Column:
 
 def memberships(points: DataFrame, centres: Centres, temperature: float = 2.0, floor: float = 1e-10) -> DataFrame:
     """(id, u): u_i in proportion to d_i ** (-2 / (m - 1)), summing to 1; distances have a floor."""
-    power = -2.0 / (temperature - 1.0)
+    return points.select("id", _membership(centres, temperature, floor).alias("u"))
+
+
+def _membership(centres: Centres, temperature: float, floor: float = 1e-10) -> Column:
+    """Of the column features."""
+    power = F.lit(-2.0 / (temperature - 1.0))
     d = F.transform(table_of(centres), lambda c: F.greatest(F.sqrt(sqdist(F.col("features"), c)), F.lit(floor)))
-    least = F.array_min("d")  # scaled by the least distance, so that powers stay finite
-    raw = points.select("id", d.alias("d")).select("id", F.transform("d", lambda x: F.pow(x / least, F.lit(power))).alias("r"))
-    return raw.select("id", F.transform("r", lambda x: x / sum_array(F.col("r"))).alias("u"))
+    # scaled by the least distance, so that powers stay finite
+    return let(d, lambda own: let(F.array_min(own), lambda least: shares(F.transform(own, lambda x: F.pow(x / least, power)))))
 
 
-def weighted_centres(points: DataFrame, u: DataFrame, temperature: float, k: int) -> Centres:
-    """Means weighted by u ** m: one aggregate with k * (d + 1) sums."""
+def _width(points: DataFrame) -> int:
     first = points.select(F.size("features").alias("d")).first()
-    d = first["d"] if first else 0
-    j = points.join(u, "id")
-    w = [F.pow(F.col("u")[c], F.lit(temperature)) for c in range(k)]
-    row = j.agg(*(F.sum(w[c]).alias(f"w{c}") for c in range(k)), *(F.sum(w[c] * F.col("features")[p]).alias(f"s{c}_{p}") for c in range(k) for p in range(d))).first()
+    return first["d"] if first else 0
+
+
+def _sums(k: int, d: int) -> list[Column]:
+    """Aggregates of the columns w (weights by cluster) and features: w<c> and s<c>_<p>."""
+    w = F.col("w")
+    return [*(F.sum(w[c]).alias(f"w{c}") for c in range(k)), *(F.sum(w[c] * F.col("features")[p]).alias(f"s{c}_{p}") for c in range(k) for p in range(d))]
+
+
+def _centres(row, k: int, d: int) -> Centres:
     return [[(row[f"s{c}_{p}"] or 0.0) / max(row[f"w{c}"] or 0.0, 1e-10) for p in range(d)] for c in range(k)]
 
 
+def weighted_centres(points: DataFrame, u: DataFrame, temperature: float, k: int, d: int | None = None) -> Centres:
+    """Means weighted by u ** m: one aggregate with k * (d + 1) sums."""
+    d = _width(points) if d is None else d
+    j = points.join(u, "id").select("features", F.transform("u", lambda x: F.pow(x, F.lit(temperature))).alias("w"))
+    return _centres(j.agg(*_sums(k, d)).first(), k, d)
+
+
 def smooth(u: DataFrame, adjacency: DataFrame, graph_weight: float = 0.1) -> DataFrame:
     """(id, u): (1 - g) u + g (A u) / max(row sum of A, 1e-10), summing to 1 again."""
     k = F.size("u")
@@ -55,7 +71,7 @@ def smooth(u: DataFrame, adjacency: DataFrame, graph_weight: float = 0.1) -> Dat
     j = u.join(sums, "id", "left")
     near = F.array(*(F.coalesce(f"s{c}", F.lit(0.0)) / F.greatest(F.coalesce("deg", F.lit(0.0)), F.lit(1e-10)) for c in cols))
     mixed = j.select("id", F.zip_with("u", near, lambda a, b: (1 - graph_weight) * a + graph_weight * b).alias("r"))
-    return mixed.select("id", F.transform("r", lambda x: x / sum_array(F.col("r"))).alias("u"))
+    return mixed.select("id", shares(F.col("r")).alias("u"))
 
 
 def hard_assignments(u: DataFrame) -> DataFrame:
@@ -86,7 +102,7 @@ def graph_loss(points: DataFrame, u: DataFrame, centres: Centres, adjacency: Dat
 def start_memberships(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """(id, u): random rows by hash, summing to 1."""
     raw = F.array(*((F.pmod(F.xxhash64("id", F.lit(seed), F.lit(c)), F.lit(1 << 40)) + 1) / float(1 << 40) for c in range(k)))
-    return points.select("id", raw.alias("r")).select("id", F.transform("r", lambda x: x / sum_array(F.col("r"))).alias("u"))
+    return points.select("id", shares(raw).alias("u"))
 
 
 def update_step(points: DataFrame, u: DataFrame, k: int, temperature: float = 2.0, adjacency: DataFrame | None = None, graph_weight: float = 0.1) -> tuple[DataFrame, Centres]:
@@ -97,7 +113,11 @@ def update_step(points: DataFrame, u: DataFrame, k: int, temperature: float = 2.
 
 
 def soft_clustering(points: DataFrame, k: int, temperature: float = 2.0, max_iter: int = 300, tol: float = 1e-4, seed: int = 42, init: DataFrame | None = None, adjacency: DataFrame | None = None, graph_weight: float = 0.1) -> SoftState:
-    """Fuzzy c-means until no membership changes by more than tol; with adjacency (i, j, v) the graph-aware form."""
+    """Fuzzy c-means until no membership changes by more than tol; with adjacency (i, j, v) the graph-aware form.
+
+    Without a graph memberships follow from the centres, so a round is one aggregate over the points: loss,
+    change, and the sums of the next centres.  With one they are written every round.
+    """
     if temperature <= 1:
         raise ValueError("temperature must be above 1")
     if k <= 0 or k > points.count():
@@ -105,12 +125,14 @@ def soft_clustering(points: DataFrame, k: int, temperature: float = 2.0, max_ite
     p = materialize(points.select("id", F.col("features").cast("array<double>").alias("features")), "points")
     adj = None if adjacency is None else materialize(adjacency, "adjacency")
     u = materialize(init if init is not None else start_memberships(p, k, seed), "membership")
+    if adj is None:
+        return _plain(p, u, k, temperature, max_iter, tol)
     losses, c, made = [], [], 0
     for _ in range(max_iter):
         new, c = update_step(p, u, k, temperature, adj, graph_weight)
         new = materialize(new, "membership")
         made += 1
-        loss = fcm_loss(p, new, c, temperature) if adj is None else graph_loss(p, new, c, adj, temperature)
+        loss = graph_loss(p, new, c, adj, temperature)
         losses.append(float(loss.first()[0]))
         change = new.select("id", F.col("u").alias("a")).join(u.select("id", F.col("u").alias("b")), "id").agg(F.max(F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))))).first()[0]
         u = new
@@ -119,6 +141,26 @@ def soft_clustering(points: DataFrame, k: int, temperature: float = 2.0, max_ite
     return SoftState(hard_assignments(u), u, c, losses, losses[-1] if losses else float("nan"), made)
 
 
+def _plain(p: DataFrame, u: DataFrame, k: int, temperature: float, max_iter: int, tol: float) -> SoftState:
+    d = _width(p)
+    c, before, losses = weighted_centres(p, u, temperature, k, d), None, []
+    now = p
+    for made in range(1, max_iter + 1):
+        # the first round compares with the memberships given, later ones with what the last centres give
+        old = F.col("u0") if before is None else _membership(before, temperature)
+        now = p.join(u.select("id", F.col("u").alias("u0")), "id") if before is None else p
+        each = now.select("features", _membership(c, temperature).alias("u"), old.alias("b"))
+        each = each.select("features", F.zip_with("u", "b", lambda x, y: F.abs(x - y)).alias("b"), F.transform("u", lambda x: F.pow(x, F.lit(temperature))).alias("w"))
+        loss = sum((F.col("w")[x] * sqdist(F.col("features"), _lit(centre)) for x, centre in enumerate(c)), F.lit(0.0))
+        row = each.agg(F.sum(loss).alias("loss"), F.max(F.array_max("b")).alias("change"), *_sums(k, d)).first()
+        losses.append(float(row["loss"]))
+        if row["change"] <= tol or made == max_iter:
+            break
+        before, c = c, _centres(row, k, d)
+    out = materialize(memberships(p, c, temperature), "membership") if losses else u
+    return SoftState(hard_assignments(out), out, c, losses, losses[-1] if losses else float("nan"), len(losses))
+
+
 def adaptive_temperature_schedule(initial: float = 2.0, final: float = 0.1, decay: float = 0.95):
     return lambda iteration: max(initial * decay**iteration, final)
 

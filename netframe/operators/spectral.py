@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netframe.functions.scalar import normalize, sum_array
+from netframe.plans.indexing import with_dense_index
 from netframe.plans.storage import materialize
 
 from .kmeans import kmeans
@@ -50,6 +51,27 @@ def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) if x.shape[1] * len(x) * len(y) <= 1 << 22 else np.stack([((x - r) ** 2).sum(axis=1) for r in y], axis=1)
 
 
+def distance_sums(points: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, cj, total, n): for each point and block, the Euclidean distances to the block's points of each cluster added up."""
+    kind = labels.schema["cluster"].dataType.simpleString()
+    marked = points.select("id", "features").join(labels.select("id", "cluster"), "id")
+    n = max(1, -(-marked.count() // block))
+    lists = (F.collect_list(c).alias(name) for c, name in (("id", "ids"), (F.col("features").cast("array<double>"), "rows"), ("cluster", "clusters")))
+    b = materialize(marked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part")).agg(*lists), "blocks")
+    pairs = b.select("ids", "rows").crossJoin(b.select(F.col("rows").alias("rows2"), "clusters"))
+
+    def run(parts):
+        for pdf in parts:
+            for ids, rows, rows2, clusters in zip(pdf["ids"], pdf["rows"], pdf["rows2"], pdf["clusters"]):
+                names, code = np.unique(np.asarray(clusters), return_inverse=True)
+                member = np.zeros((len(code), len(names)))
+                member[np.arange(len(code)), code] = 1.0
+                total = np.sqrt(_sq(np.stack(list(rows)), np.stack(list(rows2)))) @ member
+                yield pd.DataFrame({"i": np.repeat(np.asarray(ids), len(names)), "cj": np.tile(names, len(ids)), "total": total.ravel(), "n": np.tile(member.sum(axis=0).astype(np.int64), len(ids))})
+
+    return pairs.mapInPandas(run, f"i long, cj {kind}, total double, n long")
+
+
 def euclidean_distances(points: DataFrame) -> DataFrame:
     return pairwise(points, lambda x, y: np.sqrt(_sq(x, y)))
 
@@ -110,8 +132,9 @@ def normalize_path_lengths(d: DataFrame, vertices: DataFrame, method: str = "min
         z = lambda c: F.when(F.col("sd") > 0, (c - F.col("m")) / F.col("sd")).otherwise(0.0)
         x, far = z(F.col("v")), F.coalesce(F.greatest(F.abs(z(F.col("lo"))), F.abs(z(F.col("hi")))), F.lit(0.0))
     elif method == "robust":
-        m = d.agg(F.median("v").alias("m"))
-        s = m.crossJoin(d.crossJoin(F.broadcast(m)).agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("mad")))  # one row each
+        m = median(d, "v", ["i", "j"])
+        mad = median(d.select("i", "j", F.abs(F.col("v") - F.lit(m)).alias("v")), "v", ["i", "j"])
+        s = d.sparkSession.createDataFrame([(m, mad)], "m double, mad double")
         x = F.when(F.col("mad") > 0, F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (F.col("v") - F.col("m")) / (1.4826 * F.col("mad"))))).otherwise(0.0)
         far = F.when(F.col("m").isNull(), 0.0).otherwise(10.0)
     else:
@@ -119,6 +142,14 @@ def normalize_path_lengths(d: DataFrame, vertices: DataFrame, method: str = "min
     return cells.crossJoin(F.broadcast(s)).select("i", "j", F.when(F.col("v").isNull(), far).otherwise(x).alias("v"))
 
 
+def median(d: DataFrame, column: str, key: list[str]) -> float | None:
+    """The exact median of a column; rows are numbered by range, so that no task sees them all.  key tells equal values apart."""
+    d = d.where(F.col(column).isNotNull())
+    placed = with_dense_index(d.select(column, *key), [column, *key], "nf_place")
+    n = placed.count()
+    return placed.where(F.col("nf_place").isin((n - 1) // 2, n // 2)).agg(F.avg(column)).first()[0] if n else None
+
+
 def symmetric_affinity(m: DataFrame) -> DataFrame:
     """(A + A') / 2, never below 0."""
     return scale(add(m, transpose(m)), 0.5).select("i", "j", F.greatest("v", F.lit(0.0)).alias("v"))

@@ -34,6 +34,27 @@ def lloyd(spark, d):
     return labels
 
 
+def lloyd_weighted(spark, d):
+    """Three weighted Lloyd steps from the ten lowest ids; a point weighs one more than its label."""
+    w = points(spark, d).join(true_labels(spark, d).select("id", (F.col("cluster") + 1).cast("double").alias("w")), "id")
+    _, centres, _, _ = kmeans.lloyd(w, first_centres(spark, d), max_iter=3, tol=0.0)
+    return kmeans.frame_of(spark, centres).select("cluster", F.posexplode("centroid").alias("f", "x")).select("cluster", "f", r("x").alias("x"))
+
+
+def kmeans_weighted(spark, d):
+    w = points(spark, d).join(true_labels(spark, d).select("id", (F.col("cluster") + 1).cast("double").alias("w")), "id")
+    return kmeans.kmeans(w, K, n_init=2, max_iter=20, weight_col="w")
+
+
+def kmeans_run(spark, d):
+    """One run, and whether it ends no worse than its random start assigned once."""
+    p = points(spark, d)
+    labels, _, cost, made = kmeans.kmeans_run(p, K, max_iter=20)
+    start = kmeans.random_init(p, K)
+    random_cost = kmeans.inertia(p, kmeans.assign_clusters(p, start), start).first()[0]
+    return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), (F.lit(cost) <= F.lit(random_cost)).alias("better"), F.lit(made).between(1, 20).alias("ended"))
+
+
 def kmeans_best(spark, d):
     return kmeans.kmeans(points(spark, d), K, n_init=2, max_iter=20)
 
@@ -43,8 +64,18 @@ def minibatch(spark, d):
 
 
 def fuzzy_kmeans(spark, d):
-    hard, u = kmeans.fuzzy_kmeans(points(spark, d), 4, max_iter=4, centres=first_centres(spark, d, 4))
-    return hard.join(u, "id").select("id", "cluster", F.transform("membership", lambda x: F.round(x, 6)).alias("membership"))
+    hard, u = kmeans.fuzzy_kmeans(points(spark, d), 4, max_iter=4, tol=0.0, centres=first_centres(spark, d, 4))
+    return _long(hard.join(u, "id").withColumnRenamed("membership", "u"))
+
+
+def _long(df):
+    """(id, cluster, c, u): a row for each membership."""
+    return df.select("id", "cluster", F.posexplode("u").alias("c", "x")).select("id", "cluster", "c", r("x").alias("u"))
+
+
+def _start(df, k):
+    """Memberships from the ids alone."""
+    return df.select("id", S.shares(F.array(*(((F.col("id") * 7 + 3 * c * c) % 11 + 1).cast("double") for c in range(k)))).alias("u"))
 
 
 def fcm_assign(spark, d):
@@ -106,13 +137,15 @@ def graph_loss(spark, d):
 
 
 def soft_clustering(spark, d):
-    s = soft.soft_clustering(points(spark, d), 4, max_iter=5)
-    return s.labels.join(s.membership, "id").select("id", "cluster", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
+    p = points(spark, d)
+    s = soft.soft_clustering(p, 4, max_iter=5, tol=0.0, init=_start(p, 4))
+    return _long(s.labels.join(s.membership, "id"))
 
 
 def graph_soft_clustering(spark, d):
-    s = soft.soft_clustering(_nations(spark, d), 3, max_iter=6, adjacency=trade(spark, d).adjacency())
-    return s.labels.join(s.membership, "id").select("id", "cluster", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
+    p = _nations(spark, d)
+    s = soft.soft_clustering(p, 3, max_iter=6, tol=0.0, init=_start(p, 3), adjacency=trade(spark, d).adjacency())
+    return _long(s.labels.join(s.membership, "id"))
 
 
 def temperature(spark, d):
@@ -300,6 +333,25 @@ def _lloyd_sql(steps: int) -> str:
     return ",\n".join(parts) + f"\nSELECT id, cluster FROM a{steps - 1}"
 
 
+def _lloyd_weighted_sql(steps: int) -> str:
+    return _lloyd_sql(steps).replace("avg(x) AS c FROM long JOIN", "sum(long.x * (p.label + 1)) / sum(p.label + 1) AS c FROM long JOIN p USING (id) JOIN").rpartition("\n")[0] + f"\nSELECT cluster, CAST(f AS INTEGER) AS f, round(c, 6) + 0.0 AS x FROM c{steps}"
+
+
+def _fuzzy_sql(first: str, rounds: int, k: int, floor: str, smooth: str = "", centres: bool = False) -> str:
+    """Fuzzy c-means on long (id, f, x), unrolled: memberships u<t> of centres c<t - 1>, which come from u<t - 1> or, with centres, are there as c0."""
+    parts = [first]
+    for t in range(1, rounds + 1):
+        if t > 1 or not centres:
+            parts.append(f"c{t - 1} AS MATERIALIZED (SELECT c, f, sum(u * u * x) / greatest(sum(u * u), 1e-10) AS x FROM u{t - 1} JOIN long USING (id) GROUP BY ALL)")
+        parts.append(f"d{t} AS MATERIALIZED (SELECT id, c, 1 / greatest(sum((a.x - b.x) * (a.x - b.x)), {floor}) AS q FROM long a JOIN c{t - 1} b USING (f) GROUP BY ALL)")
+        plain = f"SELECT id, c, q / sum(q) OVER (PARTITION BY id) AS u FROM d{t}"
+        parts.append(f"u{t} AS MATERIALIZED ({plain})" if not smooth else f"m{t} AS MATERIALIZED ({plain}), u{t} AS MATERIALIZED ({smooth.format(u=f'm{t}')})")
+    return ",\n".join(parts) + f", best AS (SELECT id, arg_min(c, (-u, c)) AS cluster FROM u{rounds} GROUP BY ALL)\nSELECT id, CAST(cluster AS INTEGER) AS cluster, CAST(c AS INTEGER) AS c, round(u, 6) + 0.0 AS u FROM u{rounds} JOIN best USING (id)"
+
+
+_START = "u0 AS MATERIALIZED (SELECT id, c, s / sum(s) OVER (PARTITION BY id) AS u FROM (SELECT id, c, CAST((id * 7 + 3 * c * c) % 11 + 1 AS DOUBLE) AS s FROM (SELECT DISTINCT id FROM long) CROSS JOIN (SELECT unnest(range(0, {k})) AS c)))"
+_SMOOTH = "SELECT id, c, q / sum(q) OVER (PARTITION BY id) AS u FROM (SELECT m.id, m.c, 0.9 * m.u + 0.1 * coalesce(s.s, 0) AS q FROM {u} m LEFT JOIN (SELECT src AS id, c, sum(w * u) / greatest(sum(w), 1e-10) AS s FROM trade JOIN {u} n ON n.id = dst GROUP BY ALL) s ON s.id = m.id AND s.c = m.c)"
+
 _ARI = """SELECT round((x - a * b / t) / ((a + b) / 2 - a * b / t), 6) + 0.0 AS ari FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM ct GROUP BY t)) AS a, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM ct GROUP BY p)) AS b, (SELECT sum(n) * (sum(n) - 1) / 2 FROM ct) AS t)"""
 _NMI = """tot AS (SELECT sum(n) AS total FROM ct), tt AS (SELECT t, sum(n) AS n FROM ct GROUP BY ALL), pp AS (SELECT p, sum(n) AS n FROM ct GROUP BY ALL),
 mi AS (SELECT sum(ct.n / total * ln(ct.n * total / (tt.n * pp.n))) AS mi FROM ct JOIN tt ON tt.t = ct.t JOIN pp ON pp.p = ct.p, tot), ht AS (SELECT sum(-n / total * ln(n / total + 1e-10)) AS h FROM tt, tot), hp AS (SELECT sum(-n / total * ln(n / total + 1e-10)) AS h FROM pp, tot)"""
@@ -310,9 +362,12 @@ QUERIES = {
     "q_update_centroids": (update_centroids, f"WITH {EMB_LONG}, l AS (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS cluster), m AS (SELECT label, f, avg(long.x) AS x FROM long JOIN p USING (id) GROUP BY ALL), fs AS (SELECT DISTINCT f FROM long) SELECT cluster, CAST(fs.f AS INTEGER) AS f, round(coalesce(m.x, 0), 6) + 0.0 AS x FROM l CROSS JOIN fs LEFT JOIN m ON m.label = cluster AND m.f = fs.f"),
     "q_inertia": (inertia, _NEAR + " SELECT round(sum(d2), 4) + 0.0 AS inertia FROM near"),
     "q_lloyd": (lloyd, _lloyd_sql(3)),
+    "q_lloyd_weighted": (lloyd_weighted, _lloyd_weighted_sql(3)),
+    "q_kmeans_weighted": (kmeans_weighted, None),
+    "q_kmeans_run": (kmeans_run, None),
     "q_kmeans": (kmeans_best, None),
     "q_minibatch_kmeans": (minibatch, None),
-    "q_fuzzy_kmeans": (fuzzy_kmeans, None),
+    "q_fuzzy_kmeans": (fuzzy_kmeans, _fuzzy_sql(f"WITH {EMB_LONG}, c0 AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY id) - 1 AS c, f, x FROM long WHERE id IN (SELECT id FROM p ORDER BY id LIMIT 4))", 4, 4, "1e-10", centres=True)),
     "q_fcm_assign": (fcm_assign, _MEMBER + " SELECT id, cluster, round(u, 6) + 0.0 AS u FROM u"),
     "q_fcm_step": (fcm_step, f"WITH {EMB_LONG}, w AS (SELECT id, CAST(c AS INTEGER) AS cluster, CASE WHEN label % 4 = c THEN 0.7::DOUBLE * 0.7 ELSE 0.1::DOUBLE * 0.1 END AS w FROM p CROSS JOIN (SELECT unnest(range(0, 4)) AS c)) SELECT cluster, CAST(f AS INTEGER) AS f, round(sum(w * x) / sum(w), 6) + 0.0 AS x FROM w JOIN long USING (id) GROUP BY ALL"),
     "q_fcm_loss": (fcm_loss, _MEMBER + " SELECT round(sum(u * u * d2), 4) + 0.0 AS loss FROM u JOIN dist USING (id, cluster)"),
@@ -324,8 +379,8 @@ q AS (SELECT u.id, u.c, 0.9 * u + 0.1 * coalesce(s, 0) AS q FROM u LEFT JOIN s O
     "q_graph_loss": (graph_loss, f"""WITH {TRADE}, {NATIONS}, base AS (SELECT sum(u * u * ((a - x) * (a - x) + (b - y) * (b - y))) AS l FROM u JOIN np USING (id) JOIN (VALUES (0, 50.0, 4.0), (1, 60.0, 3.0)) AS t(c, x, y) ON t.c = u.c),
 rough AS (SELECT sum(w * (p.u - q.u) * (p.u - q.u)) AS r FROM trade JOIN u p ON p.id = src JOIN u q ON q.id = dst AND q.c = p.c), kl AS (SELECT sum(w * p.u * q.u) AS m FROM trade JOIN u p ON p.id = src JOIN u q ON q.id = dst), s AS (SELECT sum(u) AS s FROM u), t AS (SELECT sum(w) AS t FROM trade)
 SELECT round(l + 0.1 * r / (25 * 25) - 0.05 * (m - s * s / t) / 4, 4) + 0.0 AS loss FROM base, rough, kl, s, t"""),
-    "q_soft_clustering": (soft_clustering, None),
-    "q_graph_soft_clustering": (graph_soft_clustering, None),
+    "q_soft_clustering": (soft_clustering, _fuzzy_sql(f"WITH {EMB_LONG}, " + _START.format(k=4), 5, 4, "1e-20")),
+    "q_graph_soft_clustering": (graph_soft_clustering, _fuzzy_sql(f"WITH {TRADE}, {NATIONS}, long AS (SELECT id, 0 AS f, a AS x FROM np UNION ALL SELECT id, 1, b FROM np), ".replace("u AS (SELECT id, unnest", "nu AS (SELECT id, unnest") + _START.format(k=3), 6, 3, "1e-20", smooth=_SMOOTH)),
     "q_adaptive_temperature": (temperature, "SELECT CAST(i AS BIGINT) AS iteration, round(greatest(2.0::DOUBLE * pow(0.95::DOUBLE, i), 0.1), 6) + 0.0 AS temperature FROM (SELECT unnest(range(0, 60)) AS i)"),
     "q_euclid": (euclid, _PAIRS + " SELECT i, j, round(sqrt(d2), 6) + 0.0 AS v FROM d"),
     "q_cosine": (cosine, _COS + " SELECT i, j, round(v, 6) + 0.0 AS v FROM s"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netframe.operators import flow, generate, message
 
-from .tables import SUPPLY, TRADE, r, supply, trade
+from .tables import SUPPLY, TRADE, TRADE3, r, supply, trade, trade3
 
 
 def min_cut_direct(spark, d):
@@ -67,29 +67,41 @@ SCENARIOS = """t AS (SELECT src, sum(w) AS w FROM trade GROUP BY ALL), q AS (SEL
 par AS (SELECT id, 0.05 + x AS s12, 0.1 + x AS s23, 0.02 + x / 2 AS s13, 0.8::DOUBLE AS a12, 0.5::DOUBLE AS a23, 0.3 + x AS p, 0.79::DOUBLE AS d FROM q)"""
 
 
-def _tsit5_sql(steps: int) -> str:
-    """Fixed steps of the same tableau as a recursive query: one row for each scenario and step."""
+def _tsit5_sql(steps: int, constant: bool = False, name: str = "z", start: str = "par", more: str = "") -> str:
+    """Fixed steps of the same tableau as a recursive query: one row for each scenario and step.
+
+    more: further columns of the start table that go along, each with a comma behind.
+    """
+    made = "p" if constant else "p * ({a})"
     dt = 0.1
     names = ("y1", "y2", "y3")
 
     def slope(y: list[str]) -> list[str]:
         a, b, c = y
-        return [f"p * ({a}) - s12 * ({a}) * ({b}) - s13 * ({a}) * ({c})", f"s12 / a12 * ({a}) * ({b}) - s23 * ({b}) * ({c})", f"-d * ({c}) + s13 / (a12 * a23) * ({a}) * ({c}) + s23 / a23 * ({b}) * ({c})"]
+        return [f"{made.format(a=a)} - s12 * ({a}) * ({b}) - s13 * ({a}) * ({c})", f"s12 / a12 * ({a}) * ({b}) - s23 * ({b}) * ({c})", f"-d * ({c}) + s13 / (a12 * a23) * ({a}) * ({c}) + s23 / a23 * ({b}) * ({c})"]
 
-    inner, stage = "z", list(names)
+    inner, stage = name, list(names)
     for k in range(6):
         own = ", ".join(f"{x}::DOUBLE AS k{k}_{i}" for i, x in enumerate(slope(stage)))
         inner = f"(SELECT *, {own} FROM {inner})"
         stage = [f"{n} + {dt}::DOUBLE * (" + " + ".join(f"({a!r})::DOUBLE * k{m}_{i}" for m, a in enumerate(flow.TSIT5[k])) + ")" for i, n in enumerate(names)]
     new = ", ".join(f"({x})::DOUBLE AS {n}" for x, n in zip(stage, names))
-    return f"""z AS (SELECT par.*, 1.0::DOUBLE AS y1, 1.0::DOUBLE AS y2, 1.0::DOUBLE AS y3, 0 AS step FROM par UNION ALL
-SELECT id, s12, s23, s13, a12, a23, p, d, {new}, step + 1 FROM {inner} WHERE step < {steps})"""
+    cols = f"{more}id, s12, s23, s13, a12, a23, p, d"
+    return f"""{name} AS (SELECT {cols}, 1.0::DOUBLE AS y1, 1.0::DOUBLE AS y2, 1.0::DOUBLE AS y3, 0 AS step FROM {start} UNION ALL
+SELECT {cols}, {new}, step + 1 FROM {inner} WHERE step < {steps})"""
 
 
 def steady_state(spark, d):
     return flow.steady_state(_scenarios(spark, d), t_max=5.0).select("id", *(r(c, 6).alias(c) for c in ("y1", "y2", "y3")))
 
 
+def max_flow_min_cut(spark, d):
+    """The cheapest cut between the nations of two regions, in the graph of each nation's heaviest edges."""
+    g = trade3(spark, d)
+    masks = g.vertices.select("id", (F.col("region") == 0).alias("a"), (F.col("region") == 3).alias("b"))
+    return spark.createDataFrame([(round(flow.max_flow(g, masks, "a", "b"), 4),)], "cut double")
+
+
 def steady_state_constant(spark, d):
     return flow.steady_state(_scenarios(spark, d), production="constant").select("id", *(r(c, 4).alias(c) for c in ("y1", "y2", "y3")))
 
@@ -99,7 +111,7 @@ def failure_time(spark, d):
 
 
 def disruption_sweep(spark, d):
-    return flow.disruption_sweep(_scenarios(spark, d)).select("id", "level", r("qd").alias("qd"), r("tau", 3).alias("tau"), "status")
+    return flow.disruption_sweep(_scenarios(spark, d), t_normal=20.0, t_disrupted=5.0).select("id", "level", r("qd").alias("qd"), r("tau", 3).alias("tau"), "status")
 
 
 def threshold_classes(spark, d):
@@ -109,9 +121,9 @@ def threshold_classes(spark, d):
 
 def key_metrics(spark, d):
     p = flow.scaled_flows(_scenarios(spark, d))
-    each = p.withColumn("level", F.explode(F.array(*(F.lit(x) for x in flow.LEVELS)))).withColumn("tau", F.col("level") * 14).where("id = 0")
-    v = flow.vulnerability(each)
-    return v.select(r("stable_demand").alias("stable_demand"), r("mean_level").alias("mean_level"), "top_ratio", r("critical_level").alias("critical_level"), "vulnerability")
+    each = p.withColumn("level", F.explode(F.array(*(F.lit(x) for x in flow.LEVELS)))).withColumn("tau", F.col("level") * 14)
+    v = flow.vulnerability(each, "id")
+    return v.select("id", r("stable_demand").alias("stable_demand"), r("mean_level").alias("mean_level"), "top_ratio", r("critical_level").alias("critical_level"), "vulnerability")
 
 
 def scaled_flows(spark, d):
@@ -166,14 +178,20 @@ QUERIES = {
     "q_capacity_batch": (capacity_batch, _SCEN_ENDS.format(cap="w") + _CUT.format(keys="scenario, ", group="GROUP BY ALL", by="1.0") + f", o AS (SELECT n.scenario, n1, n2, n3, w12, w23, w13, {_param_sql(50.0, 100.0, 200.0)}, 0.1::DOUBLE AS p, 0.05::DOUBLE AS d FROM n JOIN w USING (scenario)) SELECT CAST(scenario AS INTEGER) AS scenario, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _COLS) + " FROM o"),
     "q_max_stable_demand": (max_stable_demand, _SCEN_ENDS.format(cap="28.0::DOUBLE") + _CUT.format(keys="scenario, ", group="GROUP BY ALL", by="2.0") + f", o AS (SELECT n.scenario, {_param_sql(38.2, 31.0, 0.035)} FROM n JOIN w USING (scenario)) SELECT CAST(scenario AS INTEGER) AS scenario, round((s13 + least(s12, alpha23 * s23)) / (alpha12 * alpha23), 5) + 0.0 AS demand FROM o"),
     "q_steady_state": (steady_state, f"WITH RECURSIVE {TRADE}, {SCENARIOS}, {_tsit5_sql(50)} SELECT id, round(y1, 6) + 0.0 AS y1, round(y2, 6) + 0.0 AS y2, round(y3, 6) + 0.0 AS y3 FROM z WHERE step = 50"),
-    "q_steady_state_constant": (steady_state_constant, None),
+    "q_steady_state_constant": (steady_state_constant, f"WITH RECURSIVE {TRADE}, {SCENARIOS}, {_tsit5_sql(500, True)} SELECT id, round(y1, 4) + 0.0 AS y1, round(y2, 4) + 0.0 AS y2, round(y3, 4) + 0.0 AS y3 FROM z WHERE step = 500"),
+    "q_max_flow_min_cut": (max_flow_min_cut, f"""WITH {TRADE3}, free AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS bit FROM v WHERE region NOT IN (0, 3)), sets AS (SELECT unnest(range(0, CAST(1 << (SELECT CAST(count(*) AS INTEGER) FROM free) AS BIGINT))) AS m),
+e AS (SELECT w, a.region = 0 AS sa, a.region = 3 AS sb, x.bit AS sbit, b.region = 0 AS ta, b.region = 3 AS tb, y.bit AS tbit FROM trade3 JOIN v a ON a.id = src JOIN v b ON b.id = dst LEFT JOIN free x ON x.id = src LEFT JOIN free y ON y.id = dst),
+cuts AS (SELECT m, sum(w) FILTER (WHERE (sa OR (NOT sb AND (m >> sbit) & 1 = 1)) AND (tb OR (NOT ta AND (m >> tbit) & 1 = 0))) AS cut FROM sets CROSS JOIN e GROUP BY m)
+SELECT round(min(coalesce(cut, 0)), 4) + 0.0 AS cut FROM cuts"""),
     "q_failure_time": (failure_time, f"""WITH RECURSIVE {TRADE}, {SCENARIOS}, {_tsit5_sql(50)}, f AS (SELECT *, least(2.0, y3 / d) AS tau0 FROM z WHERE step = 50)
 SELECT id, round(y3, 6) + 0.0 AS y3, round(CASE WHEN p >= d THEN 2.0 ELSE tau0 END, 6) + 0.0::DOUBLE AS tau, round(CASE WHEN p >= d OR tau0 >= 2.0 THEN 1.0 ELSE (y3 - 0.5 * d * tau0) / y3 END, 6) + 0.0::DOUBLE AS qd FROM f"""),
-    "q_disruption_sweep": (disruption_sweep, None),
+    "q_disruption_sweep": (disruption_sweep, f"""WITH RECURSIVE {TRADE}, {SCENARIOS}, {_tsit5_sql(200)}, hit AS (SELECT y3 AS n, p AS p_full, level, id, s12, s23, s13, a12, a23, p * level AS p, d FROM z CROSS JOIN (SELECT CAST(unnest([1.0, 0.99, 0.9, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.0]) AS DOUBLE) AS level) WHERE step = 200),
+{_tsit5_sql(50, False, "z2", "hit", "n, p_full, level, ")}, tt AS (SELECT id, level, p_full, d, CASE WHEN level < 1 AND y3 < 0.1 * n THEN least(14.0, n / nullif(n - y3, 0) * 10) ELSE 14.0 END AS tau FROM z2 WHERE step = 50)
+SELECT id, level, round(least(1.0, p_full * level / d), 6)::DOUBLE + 0.0 AS qd, round(tau, 3)::DOUBLE + 0.0 AS tau, CASE WHEN tau <= 1 THEN 'CRITICAL' WHEN tau <= 7 THEN 'WARNING' ELSE 'SAFE' END AS status FROM tt"""),
     "q_threshold_classes": (threshold_classes, f"WITH {TRADE}, {SCENARIOS}, s AS (SELECT id, CASE WHEN s12 * 60 <= 1 THEN 'CRITICAL' WHEN s12 * 60 <= 7 THEN 'WARNING' ELSE 'SAFE' END AS status FROM par) SELECT status, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM s GROUP BY ALL"),
-    "q_key_metrics": (key_metrics, f"""WITH {TRADE}, {SCENARIOS}, k AS (SELECT p / d AS sd, a12, a23, s12 / s13 AS r1, s23 / s13 AS r2, s12 / s23 AS r3 FROM par WHERE id = 0), l AS (SELECT unnest([1.0, 0.99, 0.9, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.0]) AS level),
+    "q_key_metrics": (key_metrics, f"""WITH {TRADE}, {SCENARIOS}, k AS (SELECT p / d AS sd, a12, a23, s12 / s13 AS r1, s23 / s13 AS r2, s12 / s23 AS r3, id FROM par), l AS (SELECT unnest([1.0, 0.99, 0.9, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05, 0.0]) AS level),
 m AS (SELECT avg(level) FILTER (WHERE level < 1) AS ml, coalesce(max(level * 100) FILTER (WHERE level * 14 <= 1), 0) AS cl FROM l)
-SELECT round(sd, 6) + 0.0 AS stable_demand, round(ml, 6)::DOUBLE + 0.0 AS mean_level, CASE greatest(a12, a23, r1, r2, r3) WHEN a12 THEN 'alpha12' WHEN a23 THEN 'alpha23' WHEN r1 THEN 's12/s13' WHEN r2 THEN 's23/s13' ELSE 's12/s23' END AS top_ratio, CAST(cl AS DOUBLE) AS critical_level, CASE WHEN cl > 50 THEN 'High' WHEN cl > 20 THEN 'Medium' ELSE 'Low' END AS vulnerability FROM k, m"""),
+SELECT id, round(sd, 6) + 0.0 AS stable_demand, round(ml, 6)::DOUBLE + 0.0 AS mean_level, CASE greatest(a12, a23, r1, r2, r3) WHEN a12 THEN 'alpha12' WHEN a23 THEN 'alpha23' WHEN r1 THEN 's12/s13' WHEN r2 THEN 's23/s13' ELSE 's12/s23' END AS top_ratio, CAST(cl AS DOUBLE) AS critical_level, CASE WHEN cl > 50 THEN 'High' WHEN cl > 20 THEN 'Medium' ELSE 'Low' END AS vulnerability FROM k, m"""),
     "q_scaled_flows": (scaled_flows, f"WITH {TRADE}, {SCENARIOS}, g AS (SELECT *, greatest(s12, s23, s13) AS m FROM par) SELECT id, round(s12 * 0.1 / m, 6) + 0.0 AS s12, round(s23 * 0.1 / m, 6) + 0.0 AS s23, round(s13 * 0.1 / m, 6) + 0.0 AS s13 FROM g"),
     "q_flow_curve": (flow_curve, f"""WITH {TRADE}, {SCENARIOS}, t5 AS (SELECT par.*, CAST(t AS DOUBLE) AS t, p / (s12 + s13 + 1e-8) * (1 - exp(-t / 5.0::DOUBLE)) AS y FROM par CROSS JOIN (SELECT CAST(unnest(range(0, 25)) AS DOUBLE) AS t))
 SELECT id, t, round(y, 6) + 0.0 AS y1, round(s12 / (a12 + 1e-8) * y * (1 - exp(-t / 3)), 6) + 0.0 AS y2, round(s13 / ((a12 + 1e-8) * (a23 + 1e-8)) * y * (1 - exp(-t / 2)), 6) + 0.0 AS y3 FROM t5"""),

@@ -13,6 +13,7 @@ from netframe.plans.storage import fresh_dir
 from netframe.sources import files
 from netframe.streaming import degrees
 
+from .paths import BETWEEN, _eigen_sql
 from .tables import EMB_LONG, PURCHASE, TRADE, TRADE3, points, purchase, r, table, trade, trade3
 
 
@@ -60,6 +61,11 @@ def csv_roundtrip(spark, d):
     return files.read_csv(spark, path).edges.select("src", "dst", F.col("weight").alias("w"))
 
 
+def node_objects(spark, d):
+    o = files.node_objects(trade3(spark, d))
+    return o.select("id", F.size("neighbours").alias("n"), F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["id"], x["weight"].cast("long"))), ",").alias("neighbours"))
+
+
 def edge_text(spark, d):
     path = fresh_dir(spark, "text")
     files.write_edge_text(purchase(spark, d), path)
@@ -245,7 +251,7 @@ def triangles(spark, d):
 
 def node_features(spark, d):
     x = centrality.node_features(trade3(spark, d))
-    return x.select("id", F.transform("features", lambda c: F.round(c, 3)).alias("features"))
+    return x.select("id", F.posexplode("features").alias("f", "x")).select("id", "f", r("x", 3).alias("x"))
 
 
 def activations(spark, d):
@@ -311,6 +317,7 @@ QUERIES = {
 f AS (SELECT * FROM trade3 ORDER BY src, dst LIMIT 10), lone AS (SELECT count(*) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM trade3 t WHERE t.src = f.dst AND t.dst = f.src))
 SELECT 'directed' AS graph, CASE WHEN n = 0 THEN true WHEN n % 2 = 1 THEN false ELSE k = 0 END AS is_undirected FROM n, lone UNION ALL SELECT 'symmetrized', true"""),
     "q_json_roundtrip": (json_roundtrip, f"WITH {TRADE} SELECT src, dst, w FROM trade"),
+    "q_node_objects": (node_objects, f"WITH {TRADE3} SELECT v.id, CAST(count(dst) AS INTEGER) AS n, coalesce(string_agg(dst || ':' || CAST(w AS BIGINT), ',' ORDER BY dst), '') AS neighbours FROM v LEFT JOIN trade3 ON src = v.id GROUP BY v.id"),
     "q_csv_roundtrip": (csv_roundtrip, f"WITH {PURCHASE} SELECT src, dst, w FROM purchase"),
     "q_edge_text": (edge_text, f"WITH {PURCHASE} SELECT src, dst FROM purchase"),
     "q_parquet_roundtrip": (parquet_roundtrip, f"WITH {PURCHASE}, u AS (SELECT src AS id FROM purchase UNION ALL SELECT dst FROM purchase) SELECT v.id, count(u.id) AS degree FROM v LEFT JOIN u ON u.id = v.id GROUP BY ALL"),
@@ -355,7 +362,12 @@ n AS (SELECT dst AS id FROM trade3 WHERE src IN (SELECT src FROM t) UNION SELECT
 k AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM s UNION ALL SELECT b FROM s) GROUP BY ALL), tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b),
 t AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY ALL)
 SELECT v.id, coalesce(t, 0) AS triangles, CASE WHEN coalesce(k, 0) > 1 THEN round(2.0 * coalesce(t, 0) / (k * (k - 1)), 6) + 0.0 ELSE 0.0::DOUBLE END AS coefficient FROM v LEFT JOIN k ON k.id = v.id LEFT JOIN t ON t.id = v.id"""),
-    "q_node_features": (node_features, None),
+    "q_node_features": (node_features, _eigen_sql(60, f""", {BETWEEN}, s AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade3),
+k AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM s UNION ALL SELECT b FROM s) GROUP BY ALL), tri AS (SELECT x.a AS p, x.b AS q, y.b AS r FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = x.a AND z.b = y.b),
+t AS (SELECT id, count(*) AS t FROM (SELECT p AS id FROM tri UNION ALL SELECT q FROM tri UNION ALL SELECT r FROM tri) GROUP BY ALL),
+f AS (SELECT v.id, coalesce(k, 0)::DOUBLE AS f0, CASE WHEN coalesce(k, 0) > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END::DOUBLE AS f1, between_.x AS f2, x60.x AS f3 FROM v LEFT JOIN k USING (id) LEFT JOIN t USING (id) JOIN between_ USING (id) JOIN x60 USING (id)),
+long AS (SELECT id, unnest([0, 1, 2, 3]) AS f, unnest([f0, f1, f2, f3]) AS x FROM f)
+SELECT id, CAST(f AS INTEGER) AS f, round((x - avg(x) OVER (PARTITION BY f)) / (stddev_pop(x) OVER (PARTITION BY f) + 1e-8), 3) + 0.0 AS x FROM long""")),
     "q_activations": (activations, f"WITH {EMB_LONG} SELECT CAST(f AS INTEGER) AS f, round(sum(greatest(x, 0)), 4) + 0.0 AS relu, round(sum(CASE WHEN x >= 0 THEN x ELSE x * 0.01 END), 4) + 0.0 AS leaky, round(sum(1 / (1 + exp(-x))), 4) + 0.0 AS sigmoid, round(sum((exp(x) - exp(-x)) / (exp(x) + exp(-x))), 4) + 0.0 AS tanh FROM long GROUP BY ALL"),
     "q_softmax": (softmax, f"WITH {EMB_LONG} SELECT id, CAST(f AS INTEGER) AS f, round(exp(x) / sum(exp(x)) OVER (PARTITION BY id), 6) + 0.0 AS s FROM long"),
     "q_log_softmax": (log_softmax, f"WITH {EMB_LONG} SELECT id, CAST(f AS INTEGER) AS f, round(x - ln(sum(exp(x)) OVER (PARTITION BY id)), 6) + 0.0 AS s FROM long"),

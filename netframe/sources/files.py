@@ -24,11 +24,18 @@ def read_node_link(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(v, e)
 
 
-def write_node_link(g: PropertyGraph, path: str) -> None:
+#: Vertices and edges that one JSON document may hold.
+NODE_LINK_ROWS = 1_000_000
+
+
+def write_node_link(g: PropertyGraph, path: str, most: int = NODE_LINK_ROWS) -> None:
     """One JSON document, in a folder: the format is one object, so one task writes it.
 
-    For large graphs use write_parquet.
+    A graph of more than `most` vertices and edges is refused; for those use write_parquet.
     """
+    n = g.vertices.count() + g.edges.count()
+    if n > most:
+        raise ValueError(f"{n} vertices and edges are too many for one JSON document")
     features = F.col("features") if "features" in g.vertices.columns else F.lit(None).cast("array<double>")
     nodes = g.vertices.select(F.struct(F.col("id"), features.alias("features")).alias("n")).agg(F.array_sort(F.collect_list("n")).alias("nodes"))
     links = g.edges.select(F.struct(F.col("pos"), F.col("src").alias("source"), F.col("dst").alias("target"), weight().alias("weight")).alias("l")).agg(F.transform(F.array_sort(F.collect_list("l")), lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), x["weight"].alias("weight"))).alias("links"))
@@ -89,5 +96,13 @@ def read_parquet(spark: SparkSession, path: str) -> PropertyGraph:
     return PropertyGraph(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges"))
 
 
-def edge_rows(g: PropertyGraph) -> DataFrame:
-    return g.edges.select("src", "dst", weight().alias("weight"))
+def node_objects(g: PropertyGraph) -> DataFrame:
+    """(id, features, neighbours array<struct<id, weight>>): each vertex as an object, as graph libraries hold them.
+
+    Weights are 1 where there are none, of duplicate edges the last counts; features are null, or one number where
+    they have one (then features is array of one).  A hub's neighbours are in one row by the nature of the form.
+    """
+    features = F.col("features") if "features" in g.vertices.columns else F.lit(None).cast("array<double>")
+    edges = g.adjacency().groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("j").alias("id"), F.col("v").alias("weight")))).alias("neighbours"))
+    none = F.array().cast("array<struct<id:bigint,weight:double>>")
+    return g.vertices.select("id", features.alias("features")).join(edges, "id", "left").select("id", "features", F.coalesce("neighbours", none).alias("neighbours"))
