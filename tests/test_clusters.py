@@ -36,6 +36,42 @@ def test_kmeans_finds_blobs(blobs):
     assert metrics.adjusted_rand(true, weighted).first()[0] > 0.9
 
 
+def test_starts_and_single_runs(blobs):
+    p, true = blobs
+    a, b = kmeans.random_init(p, 5), kmeans.random_init(p, 5)
+    rows = {tuple(x) for x in arrays(p)}
+    assert a == b and len({tuple(x) for x in a}) == 5 and {tuple(x) for x in a} <= rows
+    assert kmeans.random_init(p, 5, seed=7) != a
+    labels, centres, cost, made = kmeans.kmeans_run(p, 3, max_iter=50)
+    assert labels.count() == 120 and len(centres) == 3 and 1 <= made <= 50
+    again = kmeans.lloyd(p, centres, max_iter=50)
+    assert again[2] <= cost * (1 + 1e-9)
+
+
+def test_weighted_lloyd_is_lloyd_on_repeated_points(spark):
+    rows = [(k, [float(k % 5), float(k % 3)], 1.0 + k % 3) for k in range(20)]
+    w = spark.createDataFrame(rows, "id long, features array<double>, w double")
+    many = spark.createDataFrame([(100 * k + c, x) for k, x, n in rows for c in range(int(n))], "id long, features array<double>")
+    start = [[0.0, 0.0], [4.0, 2.0]]
+    a, b = (kmeans.lloyd(p, start, max_iter=4, tol=0.0)[1] for p in (w, many))
+    assert np.allclose(a, b)
+
+
+def test_silhouette_by_blocks_is_that_of_the_distances(blobs):
+    p, true = blobs
+    whole = metrics.silhouette_samples(spectral.euclidean_distances(p), true).agg(F.avg("s")).first()[0]
+    assert abs(metrics.silhouette(p, true).first()[0] - whole) < 1e-9
+    parts = spectral.distance_sums(p, true, block=17).groupBy("i", "cj").agg(F.sum("total"), F.sum("n")).count()
+    assert parts == 120 * 3
+
+
+def test_exact_median_without_one_task(spark):
+    for values in ([3.0, 1.0, 2.0], [4.0, 1.0, 2.0, 2.0], [5.0], [1.0, 1.0, 1.0, 9.0, None]):
+        d = spark.createDataFrame([(k, k, v) for k, v in enumerate(values)], "i long, j long, v double")
+        assert spectral.median(d, "v", ["i", "j"]) == np.median([v for v in values if v is not None])
+    assert spectral.median(d.limit(0), "v", ["i", "j"]) is None
+
+
 def test_kmeans_ends_and_errors(spark, blobs):
     p, _ = blobs
     assert {r[0] for r in kmeans.kmeans(p, 1).select("cluster").collect()} == {0}

@@ -33,19 +33,113 @@ def close(a, b, tol=1e-6):
 
 
 def test_pagerank(directed):
-    scores, made = centrality.pagerank(directed)
+    scores, made = centrality.pagerank(directed, stop="per_vertex")
     got = {r["id"]: r["score"] for r in scores.collect()}
     assert made == 22
     close(got, dict(enumerate([0.1924632796, 0.3850265979, 0.3748910749, 0.0476190476])), 1e-9)
-    scores, made = centrality.pagerank(directed, tolerance=1e-12)
+    scores, made = centrality.pagerank(directed, tolerance=1e-12, stop="per_vertex")
     assert made == 47
     close({r["id"]: r["score"] for r in scores.collect()}, dict(enumerate([0.1924634225, 0.3850262066, 0.3748913232, 0.0476190476])), 1e-9)
 
 
 def test_pagerank_ends(spark, directed):
     assert centrality.pagerank(PropertyGraph(spark.range(0), directed.edges.limit(0)))[0].count() == 0
-    scores, made = centrality.pagerank(directed, tolerance=0.3)
+    scores, made = centrality.pagerank(directed, tolerance=0.3, stop="per_vertex")
     assert made == 0 and {r["score"] for r in scores.collect()} == {0.25}
+    with pytest.raises(ValueError):
+        centrality.pagerank(directed, stop="never")
+
+
+def test_pagerank_where_vertices_times_tolerance_is_one_or_more(spark, directed):
+    """The default and the rule tested after an iteration go on; only the rule by vertex does nothing there."""
+    many = PropertyGraph(spark.range(400), directed.edges)
+    for stop, moved in (("total", True), ("after", True), ("per_vertex", False)):
+        scores, made = centrality.pagerank(many, tolerance=0.0025, stop=stop)
+        assert (made > 0) == moved and (scores.select("score").distinct().count() > 1) == moved
+    a, b = (centrality.pagerank(many, tolerance=0.0025, stop=x)[1] for x in ("total", "after"))
+    assert a > b == 1
+
+
+def test_betweenness_against_brute_force(spark):
+    from collections import deque
+    from itertools import permutations
+
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (2, 4), (4, 5), (5, 6), (6, 4), (7, 8), (1, 0), (3, 3)]
+    n = 10
+    near = {v: set() for v in range(n)}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+
+    def shortest(s, t):
+        found, todo, least = [], deque([(s,)]), None
+        while todo:
+            path = todo.popleft()
+            if least is not None and len(path) > least:
+                break
+            if path[-1] == t:
+                least = len(path)
+                found.append(path)
+                continue
+            todo.extend(path + (x,) for x in near[path[-1]] if x not in path)
+        return found
+
+    want = dict.fromkeys(range(n), 0.0)
+    for s, t in permutations(range(n), 2):
+        found = shortest(s, t)
+        for path in found:
+            for v in path[1:-1]:
+                want[v] += 1 / len(found) / ((n - 1) * (n - 2))
+    g = PropertyGraph.from_edges(spark.createDataFrame([(a, b, 1.0, k) for k, (a, b) in enumerate(edges)], "src long, dst long, weight double, pos long"), spark.range(n))
+    close({r["id"]: r["score"] for r in centrality.betweenness(g).collect()}, want, 1e-12)
+    some = {r["id"]: r["score"] for r in centrality.betweenness(g, spark.range(n)).collect()}
+    close(some, want, 1e-12)
+    alone = PropertyGraph(spark.range(3), g.edges.limit(0))
+    assert {r["score"] for r in centrality.betweenness(alone).collect()} == {0.0}
+    features = {r["id"]: r["features"] for r in centrality.node_features(g).collect()}
+    other = {r["id"]: r["features"] for r in centrality.node_features(g, small=5).collect()}
+    assert abs(other[4][2] - other[4][0]) < 1e-12 and abs(features[4][2] - features[4][0]) > 1e-3
+
+
+def test_eigenvectors_have_one_sign_either_way(spark):
+    edges = [(k, k + 1) for k in range(7)]
+    g = PropertyGraph.from_edges(spark.createDataFrame([(a, b, 1.0 + 0.1 * k, k) for k, (a, b) in enumerate(edges)], "src long, dst long, weight double, pos long"), spark.range(8), directed=False)
+    m = matrix.normalized_laplacian(g, False, True)
+    values, x = matrix.eigensystem(m, g.vertices, 3)
+    far, y = matrix.eigensystem(m, g.vertices, 3, dense_limit=0, rounds=60)
+    a, b = ({r["id"]: r["features"] for r in z.collect()} for z in (x, y))
+    assert all(abs(p - q) < 1e-6 for p, q in zip(values, far))
+    assert all(abs(p - q) < 1e-3 for k in a for p, q in zip(a[k], b[k]))
+    assert len(matrix.eigensystem(m, g.vertices, 8, dense_limit=0, rounds=3)[0]) == 8
+
+
+def test_block_min_plus_is_the_row_join(spark):
+    import random
+
+    r = random.Random(6)
+    a, b = ({(r.randrange(40) * 7, r.randrange(40) * 7): float(r.randrange(1, 99)) for _ in range(700)} for _ in "ab")
+    want = {}
+    for (i, k), x in a.items():
+        for (k2, j), y in b.items():
+            if k == k2:
+                want[i, j] = min(want.get((i, j), 1e9), x + y)
+    left, right = (spark.createDataFrame([(*k, v) for k, v in m.items()], "i long, j long, v double") for m in (a, b))
+    for block in (4, 16, 1000):
+        assert cells(matrix.blocked_min_plus(left, right, 40, block)) == want
+    assert cells(matrix.min_plus(left, right)) == want
+    few = spark.createDataFrame([(*k, v) for k, v in list(a.items())[:5]], "i long, j long, v double")
+    joined = cells(matrix.matmul(few, right, lambda x, y: x + y, F.min))
+    assert joined and cells(matrix.min_plus(few, right)) == cells(matrix.blocked_min_plus(few, right, 40, 16)) == joined
+    none = left.limit(0)
+    assert matrix.min_plus(none, right).count() == matrix.blocked_min_plus(none, right, 40).count() == 0
+
+
+def test_node_objects_and_the_size_of_one_document(spark, directed):
+    got = {r["id"]: [tuple(x) for x in r["neighbours"]] for r in files.node_objects(directed).collect()}
+    assert got == {0: [(1, 0.5)], 1: [(2, 1.5)], 2: [(0, 2.5), (1, 3.0)], 3: []}
+    with pytest.raises(ValueError):
+        files.write_node_link(directed, fresh_dir(spark, "json"), most=7)
 
 
 def test_laplacians(symmetric):

@@ -57,6 +57,35 @@ def test_reachability(spark):
     assert not paths.path_exists(g, 0, 2, 2.0) and paths.path_exists(g, 0, 2, 3.0)
 
 
+def test_maximum_flow_against_every_cut(spark):
+    import random
+    from itertools import product
+
+    r = random.Random(4)
+    for directed in (True, False):
+        edges = {(r.randrange(8), r.randrange(8)): r.randrange(1, 20) for _ in range(22)}
+        edges = {k: v for k, v in edges.items() if k[0] != k[1]}
+        g = PropertyGraph.from_edges(spark.createDataFrame([(*k, float(v), p) for p, (k, v) in enumerate(edges.items())], "src long, dst long, weight double, pos long"), spark.range(8))
+        masks = spark.createDataFrame([(k, k < 2, k > 5) for k in range(8)], "id long, a boolean, b boolean")
+        both = list(edges.items()) + ([] if directed else [((b, a), w) for (a, b), w in edges.items()])
+        cuts = []
+        for inside in product((False, True), repeat=4):
+            side = dict(enumerate([True, True, *inside, False, False]))
+            cuts.append(sum(w for (a, b), w in both if side[a] and not side[b]))
+        assert flow.max_flow(g, masks, "a", "b", directed=directed) == pytest.approx(min(cuts))
+    none = spark.createDataFrame([(0, True, False)], "id long, a boolean, b boolean")
+    assert flow.max_flow(g, none, "a", "b") == 0.0
+    with pytest.raises(ValueError):
+        flow.max_flow(g, masks.selectExpr("id", "a", "a as b"), "a", "b")
+
+
+def test_vulnerability_by_key(spark):
+    row = spark.createDataFrame([(k, 0.1, 0.2, 0.05, 0.8, 0.5, 0.42 + k, 0.79) for k in range(3)], "id long, s12 double, s23 double, s13 double, alpha12 double, alpha23 double, p double, d double")
+    s = flow.disruption_sweep(row, t_normal=5.0, t_disrupted=2.0)
+    got = {r["id"]: r["stable_demand"] for r in flow.vulnerability(s, "id").collect()}
+    assert got == pytest.approx({k: (0.42 + k) / 0.79 for k in range(3)})
+
+
 def test_negative_cycle_is_reported(spark):
     g = PropertyGraph.from_edges(spark.createDataFrame([(0, 1, -2.0, 0), (1, 0, 1.0, 1)], "src long, dst long, weight double, pos long"))
     with pytest.raises(ValueError):
