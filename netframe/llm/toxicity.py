@@ -6,8 +6,9 @@ unlabelled U, of which the class prior's share is toxic.  With class prior p and
     p * mean_P l(f) + max(0, mean_U l(-f) - p * mean_P l(-f))
 
 (Kiryo et al., 2017); where the second term falls below zero in a batch, its gradient is taken
-backwards.  f is linear over the hashed words and word beginnings (of PREFIXES bytes) that a text has, A-Z lowered
-and edge punctuation off; inflected forms share their beginnings.  Only features are kept whose share
+backwards.  f is linear over the hashed words that a text has and the word beginnings (of PREFIXES bytes) that one, two
+or three of its words share, A-Z lowered and edge punctuation off; inflected forms share their beginnings, and a single
+word that happens to begin like a toxic one is told from several.  Only features are kept whose share
 among P differs from that among U by more than Z standard errors and is LEAST_SHARE at least in one, so that chance words of few
 texts carry no weight.  Training is Adam in numpy on the driver, over batches of BATCH unlabelled texts (with the
 default bounds all are one batch); scoring is one pass of a map over whole texts.
@@ -27,6 +28,7 @@ empty result; extra columns are not read, or pass through drop_toxic, whatever t
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -41,6 +43,8 @@ from .common import row_ranges, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
+#: A beginning is one feature for each of these numbers of distinct words that have it.
+TIMES = (1, 2, 3)
 Z = 7.0
 LEAST_SHARE = 0.015
 BATCH = 16_384
@@ -54,7 +58,10 @@ def text_features(text: bytes, bits: int = BITS) -> np.ndarray:
     """Sorted feature numbers of a text's distinct words."""
     words = {w.strip(_EDGE) for w in set(text.lower().split())}
     words.discard(b"")
-    parts = [(0, words), *((n, {w[:n] for w in words if len(w) >= n}) for n in PREFIXES)]
+    parts = [(0, words)]
+    for n in PREFIXES:
+        begun = Counter([w[:n] for w in words if len(w) >= n])
+        parts += [(n + 100 * (k - 1), [p for p, times in begun.items() if times >= k]) for k in TIMES]
     h = np.fromiter((x for seed, ws in parts for x in map(xxhash.xxh3_64_intdigest, ws, repeat(seed))), np.uint64, sum(len(ws) for _, ws in parts))
     return np.unique(h & np.uint64((1 << bits) - 1)).astype(np.int32)
 
