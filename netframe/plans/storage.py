@@ -34,4 +34,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.nf_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize has made, once nothing that is still to run reads them.
+
+    Where the driver's JVM is out of reach they stay, as they do when a run is cut short.
+    """
+    for table in tables:
+        path, jvm = getattr(table, "nf_path", None), getattr(table.sparkSession, "_jvm", None)
+        if path and jvm is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
