@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.plans.storage import materialize
+from netframe.plans.storage import discard, materialize
 
 from .graph import PropertyGraph
 from .matrix import min_plus
@@ -79,27 +80,47 @@ def floyd_warshall(g: PropertyGraph, max_distance: float | None = None) -> DataF
     return out if max_distance is None else capped(out, g, max_distance)
 
 
+#: Rounds of improvements that are kept apart.
+MERGE_EVERY = 8
+
+
 def single_source(g: PropertyGraph, source: int, max_distance: float | None = None, rounds: int | None = None) -> DataFrame:
     """(id, v): distances from source, relaxing only edges out of vertices that got closer.
 
     rounds bounds the edges of a path; by default it goes on until nothing improves.  Costs that
     add up to a negative cycle raise ValueError after n rounds.
+
+    A round writes what it has improved and looks only the vertices with offers up among what was written before;
+    the tables are merged into one every MERGE_EVERY rounds.
     """
     e = materialize(edge_costs(g).select(F.col("i").alias("id"), F.col("j").alias("to"), "v"), "paths")
     spark = g.edges.sparkSession
-    state = spark.createDataFrame([(source, 0.0, True)], "id long, v double, fresh boolean")
+    fresh = spark.createDataFrame([(source, 0.0)], "id long, v double")
+    found = [fresh]
     n = g.vertices.count()
     made = 0
+
+    def best(tables: list[DataFrame], ids: DataFrame | None = None) -> DataFrame:
+        rows = reduce(DataFrame.unionByName, tables)
+        return (rows if ids is None else rows.join(ids, "id", "left_semi")).groupBy("id").agg(F.min("v").alias("v"))
+
     while rounds is None or made < rounds:
-        step = state.where("fresh").select("id", F.col("v").alias("have")).join(e, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.col("have") + F.col("v")).alias("offer"))
-        new = state.join(step, "id", "full").select("id", F.least("v", "offer").alias("v"), F.coalesce(F.col("offer") < F.col("v"), F.col("v").isNull()).alias("fresh"))
-        state = materialize(new.select("id", "v", F.coalesce("fresh", F.lit(False)).alias("fresh")), "paths")
+        offers = fresh.select("id", F.col("v").alias("have")).join(e, "id").groupBy(F.col("to").alias("id")).agg(F.min(F.col("have") + F.col("v")).alias("offer"))
+        offers = materialize(offers, "offers")
+        better = offers.join(best(found, offers.select("id")), "id", "left").where(F.col("v").isNull() | (F.col("offer") < F.col("v")))
+        fresh = materialize(better.select("id", F.col("offer").alias("v")), "paths")
+        discard(offers)
         made += 1
-        if state.where("fresh").isEmpty():
+        if fresh.isEmpty():
             break
         if made > n:
             raise ValueError("there is a cycle of negative cost")
-    out = state.select("id", "v")
+        found.append(fresh)
+        if len(found) > MERGE_EVERY:
+            whole = materialize(best(found), "paths")
+            discard(*(t for t in found if t is not fresh))
+            found = [whole, fresh]
+    out = best(found)
     if max_distance is not None:
         out = g.vertices.select("id").join(out, "id", "left").select("id", F.least(F.coalesce("v", F.lit(max_distance)), F.lit(max_distance)).alias("v"))
     return out

@@ -45,7 +45,7 @@ def discard(*tables: DataFrame) -> None:
     Where the driver's JVM is out of reach they stay, as they do when a run is cut short.
     """
     for table in tables:
-        path, jvm = getattr(table, "nf_path", None), getattr(table.sparkSession, "_jvm", None)
+        path, jvm = vars(table).get("nf_path"), getattr(table.sparkSession, "_jvm", None)
         if path and jvm is not None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
