@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netframe.plans.storage import fresh_dir, materialize, shared_dir
+from netframe.plans.storage import discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "tidy", "trim"]
+__all__ = ["discard", "documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "tidy", "trim"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def tidy(spark: SparkSession) -> None:
     """Between the rounds of a loop: shuffle files and broadcasts of finished jobs are removed only once the
     driver's collector finds them unused, so ask it to look."""
     gc.collect()
-    jvm = getattr(spark, "_jvm", None)  # none where the driver is elsewhere
+    jvm = getattr(spark, "_jvm", None)  # there is none where the driver is elsewhere
     if jvm is not None:
         jvm.System.gc()
     trim()

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, fresh_dir, materialize
+from .common import discard, free_name, fresh_dir, materialize
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -156,6 +156,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept = fetched.where("stays").select(F.col("digest").alias("d"), F.col("bytes").alias("own"))
         # written before anything needs a digest's rows together, so that the join of a hot one can be split
         fetched.where("not stays").join(kept, F.col("digest") == F.col("d")).where("bytes <> own").select("digest").write.mode("overwrite").parquet(f"{state}/collisions/{number:08d}")
+        discard(fetched)
 
     groups = _table(spark, f"{state}/groups/*", stream_groups(keys, state, check, files_per_batch))
     if again or files_per_batch:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import discard, materialize, tidy
 
 
 def _star(pairs: DataFrame, lower_only: bool) -> DataFrame:
@@ -43,7 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sign["n"] == 0 or tuple(sign) == mark:
             break
         mark = tuple(sign)
-        pairs = materialize(_star(_star(pairs, False), True), "edges")
+        before, pairs = pairs, materialize(_star(_star(pairs, False), True), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

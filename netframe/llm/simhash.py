@@ -12,8 +12,10 @@ list one; such a group holds at most 65 rows whatever the corpus.  Both ways are
 rows in proportion to the fingerprints, and are picked by the size of a key alone.
 
 Cases: a null or empty text has the fingerprint 0, linked like any other; a text shorter than a
-shingle is one shingle; rows with a null doc_id have a fingerprint and take part, but never
-name a component; repeated rows are alike.  The result has one row for each input row.
+shingle is one shingle; a very long text is fingerprinted whole, its bits added up a stretch at a time; rows with a
+null doc_id have a fingerprint and take part, but never name a component; repeated rows are alike; extra columns are
+not read, and pass through keep_one, whatever their names; an empty table has an empty result.  The result has one
+row for each input row.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, tidy
+from .common import discard, free_name, materialize, tidy, trim
 from .graph_components import components
 
 SEED = 42
@@ -118,6 +120,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
     lowest = named.groupBy("root").agg(F.min("least").alias("low"))
     moved = named.join(lowest, "root").select("fp", "low")
     naming = materialize(least.join(moved, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "naming")
+    discard(least, links)
     return marks.join(naming, "fp").select(id_col, "fp", "component_id")
 
 
@@ -130,9 +133,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
     return docs.join(gone, docs[id_col] == gone[gone.columns[0]], "left_anti")
 
 
-SPARE = 8
+# Near copies by similarity of word shingles: SimHash thins out, the shingles decide.
 
-# Near copies by similarity of word shingles: SimHash finds, the shingles decide.
+#: Keys of a row beyond those that exactness needs; rows with more crowded keys than that are ordered anew.
+SPARE = 36
 
 _EDGE = b".,;:!?\"'()[]"
 
@@ -181,12 +185,12 @@ def _least(n, similarity: float):
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def block_links(distinct: DataFrame, max_bits: int, blocks: int, full: int = FULL) -> tuple[DataFrame, DataFrame]:
-    """(edges (a, b), crowded (fp)) among distinct fingerprints at most max_bits apart.
+def block_links(distinct: DataFrame, max_bits: int, blocks: int, verify: int, full: int = FULL) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints at most `verify` bits apart.
 
-    Of `blocks` blocks two such fingerprints share blocks - max_bits at least; the values of that many
-    blocks are a key.  All pairs of a key are verified if it has up to `full` members.  In a crowded key
-    each member is verified against the key's first, and reported as crowded: links may be missing there.
+    Of `blocks` blocks two that differ in at most max_bits bits share blocks - max_bits at least; the values of
+    that many blocks are a key, and those that share a key are verified: all pairs of a key with up to `full` members, in
+    a larger one each member against the first.  So not every pair is found.
     """
     edges = [64 * i // blocks for i in range(blocks + 1)]
     chosen = list(combinations(range(blocks), blocks - max_bits))
@@ -208,15 +212,16 @@ def block_links(distinct: DataFrame, max_bits: int, blocks: int, full: int = FUL
     keyed = distinct.select("fp").mapInArrow(keys, "fp long, key long")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
     members = materialize(keyed.hint("merge").join(sizes, "key"), "members")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= verify
     few = members.where(F.col("n") <= full)
     near = few.select("key", F.col("fp").alias("a")).hint("merge").join(few.select("key", F.col("fp").alias("b")), "key").where((F.col("a") < F.col("b")) & close).select("a", "b")
-    many = members.where(F.col("n") > full)
-    star = many.select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").where(close)
-    return near.unionByName(star).distinct(), many.select("fp").distinct()
+    star = members.where(F.col("n") > full).select(F.col("fp").alias("a"), F.col("first").alias("b")).where("a <> b").where(close)
+    links = materialize(near.unionByName(star).distinct(), "links")
+    discard(members)
+    return links
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 5, blocks: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, full: int = FULL) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 3, blocks: int = 5, verify: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, full: int = FULL) -> DataFrame:
     """(id, like): the rows that are similar to a row with a smaller id, each with one such row.
 
     SimHash thins the groups out: blocks of word_fingerprint link rows, and each row is compared with the
@@ -231,7 +236,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     are compared with the first of a key before pairs are made, which thins copies of one text out.
     Pairs that share too few keys to reach the similarity are not looked up.
 
-    Rows with a null id are left alone; rows that share an id go only if each of them is similar.
+    Texts without words are similar to each other and to nothing else.  Of similar rows the one with the smallest
+    id stays; rows with a null id are left alone; rows that share an id go only if each of them is similar.
+    Every intermediate table is deleted as soon as nothing reads it any more.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
@@ -240,46 +247,61 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
         for batch in batches:
             fp = np.fromiter((word_fingerprint(t.as_py() or b"", seed) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        trim()
 
     def decide(batches):
         for batch in batches:
             a, b = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
             s = [shingle_similarity(x or b"", y or b"", words) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["id", "like", "s"])
+        trim()
 
-    def keys(whole):
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
-                    grams = [shingle_hashes(t.as_py() or b"", words) for t in part.column(1).cast(pa.binary())]
-                    n = np.fromiter(map(len, grams), np.int64, len(grams))
-                    take = n if whole else np.minimum(n, n - _least(n, similarity) + 1 + SPARE)
-                    # a row's last key; shingles beyond it are in no key
-                    top = np.array([g[k - 1] if k < len(g) or whole else (1 << 63) - 1 for g, k in zip(grams, take)], np.int64)
-                    if whole:  # tells rows of one id apart
-                        top = np.array([np.bitwise_xor.reduce(g) for g in grams], np.int64)
-                    at = np.repeat(np.arange(len(grams)), take)
-                    h = np.concatenate([g[:k] for g, k in zip(grams, take)]) if len(grams) else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(n[at]), pa.array((n - take)[at]), pa.array(top[at]), pa.array(h)], names=["id", "n", "rest", "top", "h"])
-
-        return run
-
-    def scores(pairs: DataFrame) -> DataFrame:
-        texts = pairs.join(base, "id").select("id", "like", F.col("text").alias("own"))
-        both = texts.join(base.select(F.col("id").alias("like"), F.col("text").alias("other")), "like").select("id", "like", "own", "other")
-        return materialize(both.mapInArrow(decide, f"id {kind}, like {kind}, s double").groupBy("id", "like").agg(F.min("s").alias("s")), "similar")
+    def keys(batches):
+        """For each row (row, id, text) one row of what it is, and one (row, h) for each key."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                grams = [shingle_hashes(t.as_py() or b"", words) for t in part.column(2).cast(pa.binary())]
+                n = np.fromiter(map(len, grams), np.int64, len(grams))
+                take = np.minimum(n, n - _least(n, similarity) + 1 + SPARE)
+                # a row's last key; shingles beyond it are in no key
+                top = np.array([g[k - 1] if k < len(g) else (1 << 63) - 1 for g, k in zip(grams, take)], np.int64)
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), none, part.column(1), pa.array(n), pa.array(n - take), pa.array(top)], names=["row", "h", "id", "n", "rest", "top"])
+                h = np.concatenate([g[:k] for g, k in zip(grams, take)]) if len(grams) else np.empty(0, np.int64)
+                rows = part.column(0).take(pa.array(np.repeat(np.arange(len(grams)), take)))
+                none = pa.nulls(len(h), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows, pa.array(h), pa.nulls(len(h), part.schema.field(1).type), none, none, none], names=["row", "h", "id", "n", "rest", "top"])
+        trim()
+
+    def all_grams(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                grams = [shingle_hashes(t.as_py() or b"", words) for t in part.column(1).cast(pa.binary())]
+                rows = part.column(0).take(pa.array(np.repeat(np.arange(len(grams)), list(map(len, grams)))))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64))], names=["row", "h"])
+        trim()
 
     def dropped(pairs: DataFrame) -> DataFrame:
-        return materialize(scores(pairs).where(F.col("s") >= similarity).groupBy("id").agg(F.min("like").alias("like")), "drop")
+        """Of the pairs those that are similar; of rows with one id all must be."""
+        pairs = materialize(pairs, "pairs")
+        texts = pairs.join(base, "id").select("id", "like", F.col("text").alias("own"))
+        both = texts.join(base.select(F.col("id").alias("like"), F.col("text").alias("other")), "like").select("id", "like", "own", "other")
+        s = both.mapInArrow(decide, f"id {kind}, like {kind}, s double").groupBy("id", "like").agg(F.min("s").alias("s"))
+        out = materialize(s.where(F.col("s") >= similarity).groupBy("id").agg(F.min("like").alias("like")), "drop")
+        discard(pairs)
+        tidy(spark)
+        return out
 
     def candidates(members: DataFrame, gone: DataFrame, ordered: bool) -> DataFrame:
-        """Pairs of a row not in gone and one with a smaller id that share keys enough; of members (id, n, rest, top, h, hot)."""
-        a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "rest", "top", "hot")))
-        b = members.join(gone.select("id"), "id", "left_anti").select("h", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "rest", "top", "hot")))
+        """Pairs of a row not in gone and one with a smaller id that share keys enough; of members (row, h, id, n, rest, top, hot)."""
+        fields = ("row", "id", "n", "rest", "top", "hot")
+        a = members.select("h", *(F.col(c).alias(f"a_{c}") for c in fields))
+        b = members.join(gone.select("id"), "id", "left_anti").select("h", *(F.col(c).alias(f"b_{c}") for c in fields))
         near = (F.col("a_id") < F.col("b_id")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
         both = b.hint("merge").join(a, "h").where(near)
-        both = both.groupBy(*(f"{x}_{c}" for x in "ab" for c in ("id", "n", "rest", "top", "hot"))).agg(F.count(F.lit(1)).alias("c"))
+        both = both.groupBy(*(f"{x}_{c}" for x in "ab" for c in fields)).agg(F.count(F.lit(1)).alias("c"))
         beyond = F.when(F.col("a_top") < F.col("b_top"), F.col("a_rest")).otherwise(F.col("b_rest")) if ordered else F.greatest("a_rest", "b_rest")
         most = F.col("c") + F.least("a_hot", "b_hot") + beyond
         return both.where(most >= similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6).select(F.col("b_id").alias("id"), F.col("a_id").alias("like")).distinct()
@@ -287,50 +309,49 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     active = materialize(base.mapInArrow(marks, f"id {kind}, fp long").groupBy("id").agg(F.min("fp").alias("fp")), "words")
     least = materialize(active.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    links = materialize(block_links(least.select("fp"), max_bits, blocks)[0], "links")
-    tidy(spark)
+    links = block_links(least.select("fp"), max_bits, blocks, verify, full)
     named = least.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.groupBy("root").agg(F.min("least").alias("like"), F.sum("n").alias("n")).where("n > 1").drop("n")
     gone = dropped(active.join(named.select("fp", "root"), "fp").join(low, "root").where("id <> like").select("id", "like"))
+    discard(active, least, links)
+
+    # rows that share id and text share a key; what there is of them besides counts once
+    placed = base.select(F.xxhash64("id", "text").alias("row"), "id", "text")
+    keyed = materialize(placed.mapInArrow(keys, f"row long, h long, id {kind}, n long, rest long, top long"), "keys")
+    info = materialize(keyed.where("h is null").select("row", "id", "n", "rest", "top").dropDuplicates(["row"]), "rows")
+    tokens = keyed.where("h is not null").select("row", "h")
+    sizes = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(tokens.hint("merge").join(sizes, "h"), "shared")
+    discard(keyed)
     tidy(spark)
-
-    fields = f"id {kind}, n long, rest long, top long, h long"
-    keyed = materialize(base.mapInArrow(keys(False), fields), "keys")
-    sizes = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = materialize(keyed.hint("merge").join(sizes, "h"), "shared")
-    crowded = materialize(shared.where(F.col("m") > full).groupBy("id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("hot")), "crowded")
-    few = shared.where(F.col("m") <= full).join(crowded.select("id", "hot"), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-    more = dropped(candidates(few, gone, True))
-    gone = gone.unionByName(more)
-    tidy(spark)
+    crowded = materialize(shared.where(F.col("m") > full).groupBy("row").agg(F.count(F.lit(1)).alias("hot")), "crowded")
+    few = shared.where(F.col("m") <= full).drop("m").join(info, "row").join(crowded, "row", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    gone = gone.unionByName(dropped(candidates(few, gone, True)))
+    discard(shared)
 
     # the shorter of a similar pair has s of the other's shingles at least, and has SPARE of them to spare or all but one of what it must share
     spare = F.least(F.lit(SPARE), F.ceil(similarity * F.ceil(similarity * F.col("n") - 1e-9) - 1e-9) - 1)
-    full_rows = crowded.where(F.col("hot") > spare).select("id")
-    grams = materialize(base.join(full_rows, "id", "left_semi").mapInArrow(keys(True), fields), "grams")
+    full_rows = crowded.join(info, "row").where(F.col("hot") > spare).select("row")
+    grams = materialize(placed.join(full_rows, "row", "left_semi").select("row", "text").mapInArrow(all_grams, "row long, h long"), "grams")
     often = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("id", "top").orderBy("df", "h"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("df", "h"))
     first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    kept = grams.hint("merge").join(often, "h").withColumn("place", place).where((F.col("place") <= first) & (F.col("df") > 1))
-    kept = materialize(kept.select("id", "n", (F.col("n") - first).alias("rest"), "top", "h", F.lit(0).alias("hot")), "rare")
-    tidy(spark)
+    kept = grams.hint("merge").join(often, "h").withColumn("place", place).join(info.select("row", "id", "n"), "row")
+    kept = kept.where((F.col("place") <= first) & (F.col("df") > 1)).select("row", "h", "id", "n", (F.col("n") - first).alias("rest"), F.lit(0).alias("top"), F.lit(0).alias("hot"))
+    kept = materialize(kept, "rare")
+    discard(grams, crowded, info)
     sizes = kept.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("like")).where("m > 1")
     members = materialize(kept.hint("merge").join(sizes, "h"), "members")
+    discard(kept)
     to_first = members.where((F.col("m") > full) & (F.col("id") != F.col("like"))).join(gone.select("id"), "id", "left_anti").groupBy("id", "like").agg(F.count(F.lit(1)).alias("c"))
-    more = dropped(to_first.groupBy("id").agg(F.max_by("like", "c").alias("like")))
-    gone = gone.unionByName(more)
-    more = dropped(candidates(members.drop("m", "like"), gone, False))
-    tidy(spark)
-    return gone.unionByName(more)
-
+    gone = gone.unionByName(dropped(to_first.groupBy("id").agg(F.max_by("like", "c").alias("like"))))
+    gone = gone.unionByName(dropped(candidates(members.drop("m", "like"), gone, False)))
+    discard(members)
+    return gone
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """docs without the rows that are near copies of one that stays.
 
-    near_copies compares whatever can be similar, so one seed finds all; a further one repeats the pass.
-    """
-    for seed in seeds:
-        name = free_name(docs, "nf_gone")
-        gone = materialize(near_copies(docs, words, similarity, id_col=id_col, text_col=text_col, seed=seed).select(F.col("id").alias(name)).distinct(), "gone")
-        docs = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
-    return docs
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_copies names."""
+    name = free_name(docs, "nf_gone")
+    gone = materialize(near_copies(docs, words, similarity, id_col=id_col, text_col=text_col).select(F.col("id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
