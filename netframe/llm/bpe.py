@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks remembered at most, and bytes of them.
-REMEMBERED, REMEMBERED_BYTES = 800_000, 64 << 20
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 #: Bytes of text whose chunks are numbered together.
 STRETCH = 1 << 23
 _SPACED, _BARE = "chunks begin with their white space", "white space is dropped"
