@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ranges, trim
+from .common import discard, materialize, row_ranges, tidy, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -178,33 +178,48 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if prior is None:
         seen = marks.agg(F.count(F.lit(1)).alias("n"), F.sum("nf_toxic").alias("t")).first()
         prior = min(0.9, max(1e-3, (seen["t"] or 0) / max(1, seen["n"])))
-    order = F.xxhash64(F.lit(7), F.col(id_col))
     some = docs.where(~held_out(F.col(id_col))).select(id_col, text_col)
 
     def sample(ids: DataFrame, n: int) -> list[np.ndarray]:
-        """Features of the n rows with the least hash; only ids are sorted, and n rows are sent."""
+        """Features of the n ids with the least hash; only ids are sorted, and n rows are sent, a partition at a time."""
         top = ids.select(F.col(id_col).alias("nf_own")).distinct().orderBy(F.xxhash64(F.lit(7), F.col("nf_own")), "nf_own").limit(n)
         chosen = some.join(F.broadcast(top), some[id_col].eqNullSafe(top["nf_own"]), "left_semi")  # n rows at most
-        # rows that share an id may be more than n
-        got = _featurised(chosen, [id_col], text_col).orderBy(order, id_col, "features").limit(n)
-        return [np.frombuffer(r["features"], np.int32) for r in got.toLocalIterator()]
+        # of rows that share an id one is taken
+        got = _featurised(chosen, [id_col], text_col).groupBy(id_col).agg(F.min("features").alias("features"))
+        got = materialize(got.select(F.xxhash64(F.lit(7), F.col(id_col)).alias("place"), F.col(id_col).cast("string").alias("name"), "features"), "sample")
+        rows = sorted((r["place"], r["name"] or "", bytes(r["features"])) for r in got.toLocalIterator())
+        discard(got)
+        return [np.frombuffer(x, np.int32) for _, _, x in rows]
 
     ids = some.select(id_col)
     toxic = ids.join(marks.where("nf_toxic = 1"), F.col(id_col) == F.col("nf_id"), "left_semi")
     model = fit(sample(toxic, positives), sample(ids, unlabelled), prior)
-    trim()
+    tidy(docs.sparkSession)
     return model
 
 
+def _scorer(model: Model):
+    """_scores of the model on workers; only the weights that are not 0 travel."""
+    used = np.flatnonzero(model.weights)
+    values, size, bias, prior = model.weights[used], len(model.weights), model.bias, model.prior
+
+    def make():
+        whole = np.zeros(size)
+        whole[used] = values
+        return lambda texts: _scores(Model(whole, bias, prior), texts)
+
+    return make
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score double) of every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 2**BITS weights, whatever the corpus
+    make = _scorer(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        scores = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], names=[id_col, "score"])
         trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
@@ -219,12 +234,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """docs without the rows whose text scores 0.5 or more."""
     model = train(docs, labels, id_col, text_col, **fitting)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    make = _scorer(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
+        scores = make()
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < 0.5))
+            yield batch.filter(pa.array(scores(batch.column(at)) < 0.5))
         trim()
 
     return docs.mapInArrow(run, docs.schema)
