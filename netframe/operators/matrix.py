@@ -219,6 +219,7 @@ def orthogonal_iteration(m: DataFrame, vertices: DataFrame, k: int, shift: float
     unit = lambda p: F.xxhash64("id", F.lit(p)).cast("double") / float(1 << 63)
     x = materialize(vertices.select("id", F.array(*(unit(p) for p in range(w))).alias("features")), "eigen")
     m = materialize(m, "eigen")
+    shift *= 1.05  # where the largest eigenvalue is the shift itself, its vector must not vanish
     last = None
     for _ in range(rounds):
         y = apply_matrix(m, x, w)
