@@ -49,6 +49,8 @@ def matmul(a: DataFrame, b: DataFrame, times=lambda x, y: x * y, plus=F.sum) ->
 BLOCK = 256
 #: Sums of one cell in a row join cost about as much as this many in a block product.
 ROW_COST = 64
+#: Sums up to which a row join costs less than starting the tasks of a block product.
+FEW_SUMS = 5_000_000
 
 
 def min_plus(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -59,8 +61,11 @@ def min_plus(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     ks = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("x")).join(b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("y")), "k")
     sums = ks.agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("sums"), F.count(F.lit(1)).alias("k")).first()
+    made = sums["sums"] or 0.0
+    if made <= FEW_SUMS:
+        return matmul(a, b, lambda x, y: x + y, F.min)
     n = a.select("i").distinct().count(), sums["k"], b.select("j").distinct().count()
-    if (sums["sums"] or 0.0) * ROW_COST <= float(n[0]) * n[1] * n[2]:
+    if made * ROW_COST <= float(n[0]) * n[1] * n[2]:
         return matmul(a, b, lambda x, y: x + y, F.min)
     return blocked_min_plus(a, b, max(n), block)
 
