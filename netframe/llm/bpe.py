@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Chunks remembered at most, and bytes of them.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 #: Bytes of text whose chunks are numbered together.
@@ -269,11 +271,11 @@ def _last(d: dict, n: int):
     return reversed(keys)
 
 
-_ENCODERS: dict = {}
+_ENCODERS = kept()
 
 
 def encoder(path: str, offsets: bool = False) -> Encoder:
-    """One Encoder a process; Python workers live on between tasks."""
+    """One Encoder a process; Python workers live on between tasks, and keep it until a task that uses none."""
     key = (path, offsets)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, offsets)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from netframe.plans.storage import discard, fresh_dir, materialize, shared_dir
 
-__all__ = ["discard", "documents", "free_name", "fresh_dir", "let", "materialize", "row_ranges", "shared_dir", "text_bytes", "tidy", "trim"]
+__all__ = ["discard", "documents", "free_name", "fresh_dir", "kept", "let", "let_go", "materialize", "row_ranges", "shared_dir", "text_bytes", "tidy", "trim"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,23 @@ def trim() -> None:
         pass
 
 
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A dict for what an operator keeps in its Python worker between tasks, until let_go."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def let_go() -> None:
+    """For tasks that use nothing kept: workers outlive their stage, and what an earlier one has left is memory taken from this one."""
+    if any(_KEPT):
+        for d in _KEPT:
+            d.clear()
+        trim()
+
+
 def tidy(spark: SparkSession) -> None:
     """Between the rounds of a loop: shuffle files and broadcasts of finished jobs are removed only once the
     driver's collector finds them unused, so ask it to look."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, tidy, trim
+from .common import discard, free_name, let_go, materialize, tidy, trim
 from .graph_components import components
 
 SEED = 42
@@ -244,6 +244,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bi
     spark = docs.sparkSession
 
     def marks(batches):
+        let_go()
         for batch in batches:
             fp = np.fromiter((word_fingerprint(t.as_py() or b"", seed) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])

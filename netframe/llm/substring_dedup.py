@@ -42,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, text_bytes, trim
+from .common import free_name, let_go, text_bytes, trim
 
 WINDOW = 13
 #: The shortest windows that are compared have more than half of it.
 SHORTEST = 4
 BLOCK_BYTES, LARGEST_BLOCK = 8 << 20, 64 << 20
 BLOCKS_A_BUCKET, FEWEST_BUCKETS = 16, 64
+#: Windows of a block that are hashed together; their arrays are short-lived.
+STRETCH = 1 << 17
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD6E8FEB86659FD93)
 _SENT = "bucket int, block int, kind int, keys binary, docs binary"
@@ -97,7 +99,7 @@ class _Block:
     def __init__(self, ids: np.ndarray, texts: pa.Array, window: int):
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten()
-        self.doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         full = pc.greater(pc.binary_length(words), 0)
         if not pc.all(full, min_count=0).as_py():  # white space at an end leaves an empty word
             words, self.doc = words.filter(full), self.doc[full.to_numpy(zero_copy_only=False)]
@@ -113,34 +115,51 @@ class _Block:
         ends = np.cumsum(self.counts)[self.doc[: self.n - window + 1]]
         self.whole = (ends >= np.arange(window, self.n + 1)) & (self.doc[: self.n - window + 1] < len(ids))
 
-    def grams(self, length: int) -> np.ndarray:
-        """Hashes of all windows of that length, whether they cross documents or not."""
-        h, have = self.hash, 1
+    def grams(self, length: int, lo: int, hi: int) -> np.ndarray:
+        """Hashes of the windows of that length that start at lo to hi - 1, whether they cross documents or not."""
+        h, have = self.hash[lo : hi + length - 1], 1
         while have < length:
             to = min(2 * have, length)
             h, have = _double(h, have, to), to
         return h
 
+    def stretches(self, starts: np.ndarray):
+        """(lo, hi, those of the sorted starts from lo to hi - 1, where they stand), of which there are some."""
+        for lo in range(0, self.n - self.window + 1, STRETCH):
+            hi = min(lo + STRETCH, self.n - self.window + 1)
+            a, b = np.searchsorted(starts, (lo, hi))
+            if a < b:
+                yield lo, hi, starts[a:b], slice(a, b)
+
+    def least(self, length: int, starts: np.ndarray) -> np.ndarray:
+        """Of the windows at starts the least hash of a window of that length inside."""
+        out, inside = np.empty(len(starts), _U), self.window - length
+        for lo, hi, some, at in self.stretches(starts):
+            out[at] = _sliding(self.grams(length, lo, hi + inside), inside + 1, np.minimum)[some - lo]
+        return out
+
     def short_keys(self, length: int, candidates: np.ndarray, buckets: int):
         """Unique values as bucket << 32 | low bits; which of them two documents here share; each candidate's value."""
         at = np.flatnonzero(candidates)
-        least = _sliding(self.grams(length), self.window - length + 1, np.minimum)[at] if len(at) else np.empty(0, _U)
+        least = self.least(length, at)
         doc = self.doc[at]
         # neighbouring windows mostly have one value
         head = np.ones(len(at), bool)
         head[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        g, ids = least[head], self.ids[doc[head]]
+        g, ids, runs = least[head], self.ids[doc[head]], np.diff(np.flatnonzero(head), append=len(at))
+        del at, least, doc, head
         keys, first, back = np.unique(((g >> _U(32)) * _U(buckets) >> _U(32)) << _U(32) | (g & _U(0xFFFFFFFF)), return_index=True, return_inverse=True)
         last = np.zeros(len(keys), np.int64)
         last[back] = np.arange(len(g))  # the last one written stays
-        return keys, ids[first] != ids[last], back[np.cumsum(head) - 1] if len(at) else back
+        return keys, ids[first] != ids[last], np.repeat(back, runs)
 
     def full_keys(self, starts: np.ndarray, buckets: int):
         """(bucket, h1, h2) of the windows at starts: order, group heads, and the sorted arrays."""
-        h1 = self.grams(self.window)[starts] if len(starts) else np.empty(0, _U)
-        h2 = np.zeros(len(starts), _U)
-        for k in range(self.window):
-            h2 = _mix((h2 + self.hash[starts + k]) * _M2 + _M1)
+        h1, h2 = np.empty(len(starts), _U), np.zeros(len(starts), _U)
+        for lo, hi, some, at in self.stretches(starts):
+            h1[at] = self.grams(self.window, lo, hi)[some - lo]
+            for k in range(self.window):
+                h2[at] = _mix((h2[at] + self.hash[some + k]) * _M2 + _M1)
         bucket = ((h2 >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         h2 = h2 & _U(0xFFFFFFFF)
         order = np.lexsort((h2, h1, bucket))  # stable: doc_id stays in order inside a key
@@ -296,10 +315,17 @@ class _Steps:
         return _sent(rows + [(b, me, _FULL, h1[lo:hi].tobytes() + h2[lo:hi].tobytes(), _planes(least[lo:hi])) for b, lo, hi in _cuts(bucket[head])])
 
     def first(self, length: int):
-        return lambda table: self.sent(table, None, [], length)
+        return lambda table: self.alone(table, None, [], length)
 
     def next(self, before: list[int], length: int):
-        return lambda table, answers: self.sent(table, answers, before, length)
+        return lambda table, answers: self.alone(table, answers, before, length)
+
+    def alone(self, *of) -> pa.Table:
+        """sent, with the worker's memory given back before and after."""
+        let_go()
+        out = self.sent(*of)
+        trim()
+        return out
 
     def gone(self, block: _Block, answers: pa.Table) -> np.ndarray:
         """Which words lie under a repeat."""
@@ -349,6 +375,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())])
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+        let_go()
         out = table.select(keep)
         added = [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.string())]
         if table.num_rows:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_ranges, tidy, trim
+from .common import discard, let_go, materialize, row_ranges, tidy, trim
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -162,6 +162,7 @@ def held_out(id_col: Column) -> Column:
 
 def _featurised(docs: DataFrame, extra: list[str], text_col: str) -> DataFrame:
     def run(batches):
+        let_go()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -217,6 +218,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        let_go()
         scores = make()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)))], names=[id_col, "score"])
@@ -238,6 +240,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches):
+        let_go()
         scores = make()
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at)) < 0.5))

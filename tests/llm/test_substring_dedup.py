@@ -1,7 +1,12 @@
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from netframe.llm import bpe, substring_dedup
 from netframe.llm.substring_dedup import candidates_by_length, drop_repeats, levels, repeated_words
 
 
@@ -88,3 +93,38 @@ def test_one_id_and_no_id_are_spread(spark):
 def test_very_long_text(spark):
     rows = [(1, " ".join(f"v{j % 5000}" for j in range(40000))), (2, " ".join(f"v{j}" for j in range(300, 900)))]
     check(spark.createDataFrame(rows, "doc_id long, text string"), [(*r, "", "") for r in rows], 13, block_bytes=1 << 16)
+
+
+def _block_table(n):
+    texts = [" ".join(f"w{(k * 131 + j * j) % 5003}" for j in range(500)) for k in range(n)]
+    return pa.table([pa.array(range(n)), pa.array(texts), pa.array([0] * n, pa.int32())], names=["doc_id", "text", "nf_block"])
+
+
+def test_a_blocks_hashes_take_little_memory():
+    steps = substring_dedup._Steps(13, "doc_id", "text", 2, 64)
+    block, _ = steps.load(_block_table(800))
+    assert block.n > 2 * substring_dedup.STRETCH
+    tracemalloc.start()
+    try:
+        block.short_keys(4, block.whole, 64)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 * block.n
+
+
+def test_hashes_are_the_same_in_stretches(monkeypatch):
+    steps = substring_dedup._Steps(13, "doc_id", "text", 2, 64)
+    block, _ = steps.load(_block_table(20))
+    some = np.flatnonzero(block.whole)[::3]
+    whole = [*block.short_keys(7, block.whole, 64), *block.full_keys(some, 64)]
+    monkeypatch.setattr(substring_dedup, "STRETCH", 37)
+    for a, b in zip(whole, [*block.short_keys(7, block.whole, 64), *block.full_keys(some, 64)], strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_encoders_an_earlier_stage_has_left_are_let_go():
+    bpe.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert bpe._ENCODERS
+    substring_dedup._Steps(13, "doc_id", "text", 2, 64).first(4)(_block_table(2))
+    assert not bpe._ENCODERS
