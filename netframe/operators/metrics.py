@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spectral import distance_sums
+from .spectral import distance_sums, length
 
 
 def contingency(true: DataFrame, pred: DataFrame) -> DataFrame:
@@ -75,12 +75,32 @@ def within_between(similarity: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("id").alias("i"), F.col("cluster").alias("ci")), labels.select(F.col("id").alias("j"), F.col("cluster").alias("cj"))
     same = F.col("ci") == F.col("cj")
     j = similarity.join(a, "i").join(b, "j")
-    n = labels.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"))
     s = j.agg(F.coalesce(F.sum(F.when(same, F.col("v"))), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.when(~same, F.col("v"))), F.lit(0.0)).alias("b"))
+    return _means(s, labels)
+
+
+def _means(s: DataFrame, labels: DataFrame) -> DataFrame:
+    """within and between from the sums w and b of all similarities inside clusters and between."""
+    n = labels.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("same"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"))
     x = s.crossJoin(n)  # one row each
     return x.select((F.col("w") / (F.col("same") + 1e-8)).alias("within"), (F.col("b") / (F.col("n") * F.col("n") - F.col("same") + 1e-8)).alias("between"), F.col("clusters").alias("n_clusters"))
 
 
+def within_between_cosine(points: DataFrame) -> DataFrame:
+    """within_between of the cosine similarities of all pairs of points (features, cluster), in one pass over the points.
+
+    The product of two clusters' sums of unit vectors is the sum of the similarities between their points, so
+    every pair counts and no table of pairs is made.  Points without a cluster count as a cluster whose similarities are 0.
+    """
+    size = length(F.filter("features", lambda x: x.isNotNull())) + 1e-8
+    sized = points.where(F.col("cluster").isNotNull()).select("cluster", "features", size.alias("size"))  # once a point, not once a coordinate
+    long = sized.select("cluster", "size", F.posexplode("features").alias("f", "x"))
+    sums = long.groupBy("cluster", "f").agg(F.sum(F.col("x") / F.col("size")).alias("x"))
+    own, all_ = F.sum(F.col("x") * F.col("x")), F.sum("x")
+    by = sums.groupBy("f").agg(own.alias("w"), F.when(F.count(F.lit(1)) == 1, 0.0).otherwise(all_ * all_ - own).alias("b"))
+    return _means(by.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("b")), points)
+
+
 def cluster_metrics(similarity: DataFrame, labels: DataFrame, true: DataFrame | None = None) -> DataFrame:
     """One row: silhouette (of the table as distances), within, between, n_clusters and, with true labels, ari and nmi."""
     out = silhouette_samples(similarity, labels).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("silhouette")).crossJoin(within_between(similarity, labels))

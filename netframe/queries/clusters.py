@@ -248,7 +248,8 @@ def label_ari(spark, d):
 
 
 def within_between(spark, d):
-    w = metrics.within_between(spectral.cosine_similarities(points(spark, d)), true_labels(spark, d))
+    p = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("cluster"))
+    w = metrics.within_between_cosine(p)
     return w.select(r("within").alias("within"), r("between").alias("between"), "n_clusters")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netframe.functions import scalar as S
 from netframe.operators import generate, kmeans, metrics, soft, spectral
+from netframe.queries import clusters
 from netframe.streaming.degrees import windowed_edges
 
 
@@ -215,3 +216,25 @@ def test_windows_drop_late_edges(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("w_edges").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["src"], r["dst"], r["weight"]) for r in spark.table("w_edges").collect()} <= {(1, 2, 2.0), (3, 4, 1.0)}
+
+
+def test_within_between_cosine_counts_every_pair_and_makes_none(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6).tolist(), int(c)) for k, c in enumerate(rng.choice(4, 90, p=[0.7, 0.2, 0.05, 0.05]))]
+    rows += [(90, [0.0] * 6, 1), (91, None, 2), (92, [], 3), (93, [1.0, None, 2.0], 0), (94, rows[0][1], None), (94, rows[1][1], 2)]
+    p = spark.createDataFrame(rows, "id long, features array<double>, cluster int")
+    got = metrics.within_between_cosine(p)
+    x = np.array([[v or 0.0 for v in (f or [])] + [0.0] * (6 - len(f or [])) for _, f, _ in rows])
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    label = np.array([-1 if c is None else c for _, _, c in rows])
+    same, known = label[:, None] == label, (label[:, None] >= 0) & (label >= 0)
+    sims, n = unit @ unit.T, np.unique(label, return_counts=True)[1]
+    want = (sims[same & known].sum() / (n * n).sum(), sims[~same & known].sum() / (len(rows) ** 2 - (n * n).sum()), len(n))
+    assert got.first() == pytest.approx(want, abs=1e-9)
+    one = metrics.within_between_cosine(p.where("cluster = 1")).first()
+    assert one["between"] == 0 and one["n_clusters"] == 1
+
+
+def test_within_between_query_joins_no_pairs(spark):
+    plan = clusters.within_between(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("Join") <= 1
