@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netframe.functions import scalar as S
 from netframe.operators import generate, kmeans, metrics, soft, spectral
+from netframe.plans import storage
 from netframe.queries import clusters
 from netframe.streaming.degrees import windowed_edges
 
@@ -238,3 +241,43 @@ def test_within_between_cosine_counts_every_pair_and_makes_none(spark):
 def test_within_between_query_joins_no_pairs(spark):
     plan = clusters.within_between(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan and plan.count("Join") <= 1
+
+
+def test_blocks_of_pairs_take_no_more_disk_than_the_points(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    p = spark.createDataFrame(list(enumerate(x.astype(float).tolist())), "id long, features array<double>")
+    b = spectral._blocks(p, 128)
+    assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
+    b.write.parquet(f"{tmp_path}/blocks")
+    assert sum(f.stat().st_size for f in (tmp_path / "blocks").glob("*.parquet")) < 1.1 * x.nbytes
+    assert sorted(k for r in b.collect() for k in r["ids"]) == list(range(4000))
+
+
+def test_blocks_of_pairs_keep_doubles_and_every_point(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 3))
+    x[:20] = x[:20].astype(np.float32)
+    x[20], x[21, 1] = [1e300, -1e300, 1e-300], 1 / 3
+    for parts in (1, 2, 50):
+        p = spark.createDataFrame(list(enumerate(x.tolist())), "id long, features array<double>").repartition(parts)
+        blocks = spectral._blocks(p, 7).collect()
+        assert max(len(r["ids"]) for r in blocks) <= 7
+        assert {k: tuple(row) for r in blocks for k, row in zip(r["ids"], spectral._rows(r["ids"], r["kind"], r["rows"]))} == dict(enumerate(map(tuple, x)))
+        got = {(r["i"], r["j"]): r["v"] for r in spectral.pairwise(p, lambda a, b: a @ b.T * 1e-300, 7).collect()}
+        assert len(got) == 3600 and all(got[i, j] == pytest.approx(x[i] @ x[j] * 1e-300, rel=1e-9) for i in (0, 25, 59) for j in (0, 7, 40))
+    assert spectral.cosine_similarities(p.where("id < 0")).count() == 0
+    for odd in ([(1, None)], [(None, [1.0])], [(1, [1.0]), (2, [1.0, 2.0])]):
+        with pytest.raises(Exception, match="a point without|different lengths"):
+            spectral.euclidean_distances(spark.createDataFrame(odd, "id long, features array<double>").coalesce(1)).collect()
+
+
+@pytest.mark.parametrize("query", [clusters.cosine])
+def test_kernel_queries_write_no_more_than_the_points(spark, monkeypatch, query):
+    written = []
+    monkeypatch.setattr(spectral, "materialize", lambda df, name: written.append(storage.materialize(df, name)) or written[-1])
+    query(spark, "/root/testdata/sf0.01")
+    (b,) = written
+    points = [r["ids"] for r in b.collect()]
+    assert sum(map(len, points)) == 500
+    assert sum(f.stat().st_size for f in Path(b.nf_path.removeprefix("file://")).glob("*.parquet")) < 1.2 * 500 * 64 * 4
