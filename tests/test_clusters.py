@@ -272,7 +272,7 @@ def test_blocks_of_pairs_keep_doubles_and_every_point(spark):
             spectral.euclidean_distances(spark.createDataFrame(odd, "id long, features array<double>").coalesce(1)).collect()
 
 
-@pytest.mark.parametrize("query", [clusters.cosine, clusters.euclid])
+@pytest.mark.parametrize("query", [clusters.cosine, clusters.euclid, clusters.rbf])
 def test_kernel_queries_write_no_more_than_the_points(spark, monkeypatch, query):
     written = []
     monkeypatch.setattr(spectral, "materialize", lambda df, name: written.append(storage.materialize(df, name)) or written[-1])
