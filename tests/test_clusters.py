@@ -281,3 +281,22 @@ def test_kernel_queries_write_no_more_than_the_points(spark, monkeypatch, query)
     points = [r["ids"] for r in b.collect()]
     assert sum(map(len, points)) == 500
     assert sum(f.stat().st_size for f in Path(b.nf_path.removeprefix("file://")).glob("*.parquet")) < 1.2 * 500 * 64 * 4
+
+
+def test_symmetric_pairs_have_every_cell_once(spark):
+    x = np.random.default_rng(4).normal(size=(100, 5))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for parts, block in ((1, 7), (3, 45), (30, 7), (2, 512)):
+        p = spark.createDataFrame(list(enumerate(x.tolist())), "id long, features array<double>").repartition(parts)
+        got = [tuple(r) for r in spectral.symmetric_pairwise(p, lambda a, b: np.sqrt(spectral._sq(a, b)), block).collect()]
+        assert len(got) == len({(i, j) for i, j, _ in got}) == 10000
+        assert all(v == pytest.approx(d[i, j], abs=1e-12) for i, j, v in got)
+    assert spectral.euclidean_distances(p.where("id < 0")).count() == 0
+
+
+@pytest.mark.parametrize("query", [clusters.euclid])
+def test_symmetric_tables_take_little_more_than_half_the_disk(spark, tmp_path, query):
+    query(spark, "/root/testdata/sf0.1").write.parquet(f"{tmp_path}/pairs")
+    t = spark.read.parquet(f"{tmp_path}/pairs")
+    assert t.count() == t.select("i", "j").distinct().count() == 2000 * 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6.5 * 2000 * 2000  # a fourth lies within blocks and is written whole
