@@ -294,7 +294,7 @@ def test_symmetric_pairs_have_every_cell_once(spark):
     assert spectral.euclidean_distances(p.where("id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("query", [clusters.euclid])
+@pytest.mark.parametrize("query", [clusters.euclid, clusters.rbf])
 def test_symmetric_tables_take_little_more_than_half_the_disk(spark, tmp_path, query):
     query(spark, "/root/testdata/sf0.1").write.parquet(f"{tmp_path}/pairs")
     t = spark.read.parquet(f"{tmp_path}/pairs")
