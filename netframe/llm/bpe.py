@@ -3,8 +3,8 @@
 `Encoder` gives what `Tokenizer.from_file(path).encode(text, add_special_tokens=False)` gives.
 Where the tokenizer's own splitting rule lets it, a text is cut in front of each run of
 ASCII white space; no token spans such a cut, so the ids of a text are the ids of its
-chunks one after the other.  Arrow makes the cuts and numbers the distinct chunks, so that Python
-meets each distinct chunk of a stretch once and gathers ids by number.
+chunks one after the other.  Arrow makes the cuts, holds the chunks that are remembered and numbers those of
+a stretch after them, so that Python meets each new chunk once and gathers ids by number.
 
 Chunks are remembered up to a bound; then those not met for longest are let go.  A new chunk of plain
 letters, digits and signs is parted by the tokenizer's own rule and goes straight to its merges; any
@@ -36,12 +36,6 @@ _ODD = "[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\
 _PLAIN = re.compile("[ \n]?[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
 
-class _Index(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 class Encoder:
     def __init__(self, path: str, offsets: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,14 +88,13 @@ class Encoder:
         self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers") or [])
 
     def _forget(self) -> None:
-        self.index = _Index()
+        self.index = pa.array([], pa.string())
         self.n = 0
         self.used = 0
-        self.held = 0
         self.clock = 0
-        self.met = np.zeros(1024, np.int64)
+        self.met = np.zeros(1024, np.int32)
         self.starts = np.zeros(1024, np.int64)
-        self.lens = np.zeros(1024, np.int64)
+        self.lens = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.spans = np.zeros((4096, 2), np.int32) if self.offsets else None
 
@@ -109,20 +102,17 @@ class Encoder:
         """Let the half of the chunks go that were not met for longest."""
         met = self.met[: self.n]
         stay = np.flatnonzero(met > np.partition(met, self.n // 2)[self.n // 2])
-        names = list(self.index)
-        lens, old, clock = self.lens[stay], self, self.clock
+        names, lens, met, clock = self.index.take(pa.array(stay)), self.lens[stay], met[stay], self.clock
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(lens.sum())
-        pos = np.repeat(self.starts[stay] - (np.cumsum(lens) - lens), lens) + np.arange(total)
-        flat, spans, met = self.flat[pos], self.spans[pos] if self.offsets else None, met[stay]
+        pos = np.repeat(self.starts[stay] - (ends - lens), lens) + np.arange(total)
+        flat, spans = self.flat[pos], self.spans[pos] if self.offsets else None
         self._forget()
         self._room(len(stay), total)
-        for k in stay.tolist():
-            self.index[names[k]] = len(self.index)
-        self.held = sum(len(names[k]) for k in stay.tolist())
-        self.clock, self.n, self.used = clock, len(stay), total
-        self.lens[: self.n], self.starts[: self.n], self.met[: self.n] = lens, np.cumsum(lens) - lens, met
+        self.index, self.clock, self.n, self.used = names, clock, len(stay), total
+        self.lens[: self.n], self.starts[: self.n], self.met[: self.n] = lens, ends - lens, met
         self.flat[:total] = flat
-        if old.offsets:
+        if self.offsets:
             self.spans[:total] = spans
 
     def _room(self, n: int, total: int) -> None:
@@ -163,7 +153,7 @@ class Encoder:
         return np.diff(total[np.append(ends, len(found))], prepend=0), ids, None
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that have just got their numbers."""
+        """Encode chunks that get the next numbers."""
         kinds = np.zeros(len(chunks), np.int8)
         if self.plain:
             kinds[[_PLAIN.fullmatch(c) is not None for c in chunks]] = 2
@@ -184,19 +174,25 @@ class Encoder:
                 self.spans[self.used : self.used + len(ids)] = spans
             self.used += len(ids)
         self.n += len(chunks)
-        self.held += sum(map(len, chunks))
 
-    def _numbers(self, chunks: pa.DictionaryArray) -> np.ndarray:
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
         """The numbers of the chunks, after those that are new have been encoded."""
-        if len(self.index) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        if not len(chunks):
+            return np.zeros(0, np.int64)
+        if self.n > REMEMBERED or self.index.nbytes > REMEMBERED_BYTES:
             self._thin()
-        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        # the chunks remembered stand in front, so that they keep their numbers and new ones get the next
+        coded = pa.chunked_array([self.index.cast(chunks.type), chunks]).dictionary_encode()
+        coded = coded.chunk(coded.num_chunks - 1)
+        self.index = coded.dictionary
+        at = coded.indices.to_numpy()
+        del coded
+        pa.default_memory_pool().release_unused()  # what numbering took, of which numpy and Python could use nothing
         if len(self.index) > self.n:
-            self._learn(list(_last(self.index, len(self.index) - self.n)))
+            self._learn(self.index.slice(self.n).to_numpy(zero_copy_only=False).tolist())
         self.clock += 1
         self.met[at] = self.clock
-        return at[chunks.indices.to_numpy()]
+        return at
 
     def _chunks(self, texts: pa.Array) -> pa.ListArray:
         if self.cut is _BARE:
@@ -226,16 +222,18 @@ class Encoder:
         for lo, hi in _stretches(pc.binary_length(parted).to_numpy(zero_copy_only=False)):
             lists = self._chunks(parted.slice(lo, hi - lo))
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            chunks = lists.flatten().dictionary_encode()
+            chunks = lists.flatten()
             at = self._numbers(chunks)
             lens = self.lens[at]
             total = int(lens.sum())
-            pos = np.repeat(self.starts[at] - (np.cumsum(lens) - lens), lens) + np.arange(total)
+            run_ends = np.cumsum(lens)
+            pos = np.repeat(self.starts[at] - (run_ends - lens), lens)
+            pos += np.arange(total)
             ids.append(self.flat[pos])
             text_ends = np.cumsum(sizes)
-            done.append(np.diff(np.concatenate([[0], np.cumsum(lens)])[text_ends], prepend=0))
+            done.append(np.diff(np.concatenate([[0], run_ends])[text_ends], prepend=0))
             if self.offsets:
-                widths = pc.utf8_length(chunks.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[chunks.indices.to_numpy()]
+                widths = pc.utf8_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum(widths)])
                 spans.append(self.spans[pos] + np.repeat(ends[:-1] - np.repeat(ends[text_ends - sizes], sizes), lens)[:, None])
         counts[~whole] = np.concatenate(done)
@@ -261,16 +259,6 @@ def _stretches(sizes: np.ndarray):
         lo = hi
 
 
-def _last(d: dict, n: int):
-    """The n last keys of d, oldest first."""
-    keys = []
-    for key in reversed(d):
-        keys.append(key)
-        if len(keys) == n:
-            break
-    return reversed(keys)
-
-
 _ENCODERS = kept()
 
 

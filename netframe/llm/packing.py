@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, limit: int = LIMIT, id
                 offsets = np.concatenate([[0], np.cumsum(length)]) * 4
                 data = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=[id_col, "piece", "start", "length", "ids"])
-        trim()
+                trim()
 
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("nf_text"))
     return base.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")

@@ -1,10 +1,13 @@
+import gc
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +62,19 @@ def test_forgotten_chunks_are_encoded_anew(monkeypatch, rows, offsets):
     assert len(e.index) < 800
 
 
+def test_remembered_chunks_take_little_memory():
+    e, n = Encoder(BYTE), 60_000
+    e.encode(["one two three"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    e.encode([" ".join(f"w{k}" for k in range(lo, lo + 1000)) for lo in range(0, n, 1000)])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(e.index) >= n
+    assert held < 100 * n
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet=ALPHABET, max_size=60), max_size=6))
 def test_decoder_and_offsets(texts):
