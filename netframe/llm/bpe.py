@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import kept
 REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 #: Bytes of text whose chunks are numbered together.
 STRETCH = 1 << 23
+#: New chunks that are encoded together.
+PART = 1 << 15
 _SPACED, _BARE = "chunks begin with their white space", "white space is dropped"
 _MARK = "\x01"
 #: The mark itself and white space other than ASCII's.
@@ -146,10 +149,15 @@ class Encoder:
         for c in sorted(set(text) & self.spelled.keys(), key=self.lead.__ne__):  # the lead character itself first
             text = text.replace(c, self.spelled[c])
         pieces = self.pieces(text.replace("\0", self.part))
-        ends = np.array([k for k, p in enumerate(pieces) if p == self.part], np.int64) - np.arange(len(chunks) - 1)
-        found = list(map(self.tokenizer.model.tokenize, [p for p in pieces if p != self.part]))
+        ends = np.array([k for k, p in enumerate(pieces) if p == self.part], np.int64)
+        runs = dict.fromkeys(pieces, [])
+        runs.pop(self.part, None)
+        for p in runs:  # words come with many signs behind them, so pieces recur more than chunks
+            runs[p] = [t.id for t in self.tokenizer.model.tokenize(p)]
+        runs[self.part] = []
+        found = list(map(runs.__getitem__, pieces))
         total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        ids = np.array([t.id for x in found for t in x], np.uint32)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(total[-1]))
         return np.diff(total[np.append(ends, len(found))], prepend=0), ids, None
 
     def _learn(self, chunks: list[str]) -> None:
@@ -162,8 +170,8 @@ class Encoder:
         runs: list = []
         for kind in (0, 1, 2):
             which = np.flatnonzero(kinds == kind)
-            for lo in range(0, len(which), 1 << 13):
-                part = which[lo : lo + (1 << 13)]
+            for lo in range(0, len(which), PART):
+                part = which[lo : lo + PART]
                 runs.append((part, *(self._plain_runs if kind == 2 else self._runs)([chunks[k] for k in part.tolist()])))
         for part, lens, ids, spans in runs:
             self._room(len(chunks), len(ids))

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -75,6 +76,21 @@ def test_remembered_chunks_take_little_memory():
     assert held < 100 * n
 
 
+def test_a_piece_of_many_new_chunks_is_merged_once():
+    e, met = Encoder(BYTE), Counter()
+
+    class Model:
+        def tokenize(self, piece, own=e.tokenizer.model):
+            met[piece] += 1
+            return own.tokenize(piece)
+
+    e.tokenizer = SimpleNamespace(model=Model(), encode_batch_fast=e.tokenizer.encode_batch_fast)
+    texts = [" word word, word. word; word! (word) other, other."]
+    ids, _, _ = e.encode(texts)
+    assert ids.tolist() == LIB[BYTE].encode(texts[0], add_special_tokens=False).ids
+    assert met and max(met.values()) == 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(texts=st.lists(st.text(alphabet=ALPHABET, max_size=60), max_size=6))
 def test_decoder_and_offsets(texts):
