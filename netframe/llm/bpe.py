@@ -14,6 +14,7 @@ is not known here, is encoded whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -152,8 +153,14 @@ class Encoder:
         ends = np.array([k for k, p in enumerate(pieces) if p == self.part], np.int64)
         runs = dict.fromkeys(pieces, [])
         runs.pop(self.part, None)
-        for p in runs:  # words come with many signs behind them, so pieces recur more than chunks
-            runs[p] = [t.id for t in self.tokenizer.model.tokenize(p)]
+        collects = gc.isenabled()
+        gc.disable()  # so many lists, none of them in a cycle, make it look through all objects again and again
+        try:
+            for p in runs:  # words come with many signs behind them, so pieces recur more than chunks
+                runs[p] = [t.id for t in self.tokenizer.model.tokenize(p)]
+        finally:
+            if collects:
+                gc.enable()
         runs[self.part] = []
         found = list(map(runs.__getitem__, pieces))
         total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
