@@ -300,3 +300,10 @@ def test_symmetric_tables_take_little_more_than_half_the_disk(spark, tmp_path, q
     t = spark.read.parquet(f"{tmp_path}/pairs")
     assert t.count() == t.select("i", "j").distinct().count() == 2000 * 2000
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6.5 * 2000 * 2000  # a fourth lies within blocks and is written whole
+
+
+def test_cosine_table_takes_little_more_than_half_the_disk(spark, tmp_path):
+    clusters.cosine(spark, "/root/testdata/sf0.1").write.parquet(f"{tmp_path}/pairs")
+    t = spark.read.parquet(f"{tmp_path}/pairs")
+    assert t.count() == t.select("i", "j").distinct().count() == 2000 * 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6.5 * 2000 * 2000  # a fourth lies within blocks and is written whole
