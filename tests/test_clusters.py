@@ -307,3 +307,26 @@ def test_cosine_table_takes_little_more_than_half_the_disk(spark, tmp_path):
     t = spark.read.parquet(f"{tmp_path}/pairs")
     assert t.count() == t.select("i", "j").distinct().count() == 2000 * 2000
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6.5 * 2000 * 2000  # a fourth lies within blocks and is written whole
+
+
+def test_symmetric_pairs_with_a_span_have_every_cell_once(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 5))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    p = spark.createDataFrame(list(enumerate(x.tolist())), "id long, features array<double>")
+    for parts, block, span, n in ((1, 512, 0.0, 1500), (3, 45, 1.5, 100), (2, 7, 0.5, 100), (1, 512, 100.0, 3)):
+        some = p.where(F.col("id") < n).coalesce(parts)
+        t = spectral.symmetric_pairwise(some, lambda a, b: np.sqrt(spectral._sq(a, b)), block, span).toPandas()
+        assert len(t) == len(t[["i", "j"]].drop_duplicates()) == n * n
+        assert np.allclose(t["v"], d[t["i"], t["j"]], atol=1e-12)
+    assert spectral.rbf_kernel(p.where("id < 0"), span=0.1).count() == 0
+
+
+def test_rbf_table_keeps_its_dictionary(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(4096, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame(list(enumerate(x.astype(float).tolist())), "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(spectral, "materialize", lambda df, name: storage.materialize(df.repartition(1), name))
+    clusters.rbf(spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    t = spark.read.parquet(f"{tmp_path}/pairs")
+    assert t.count() == t.select("i", "j").distinct().count() == 4096 * 4096
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2 * 4096 * 4096
